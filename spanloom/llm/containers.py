@@ -67,7 +67,7 @@ def _pack_shard(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
     items = items.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
     packer = LevelPacker(capacity)
     placed = [packer.place(int(n)) for n in items["n_tokens"]]
-    base = items["shard"].astype("int64") << 32
+    base = items["shard"].astype("int64") * (1 << 32)
     at = np.array(placed, dtype=np.int64).reshape(-1, 2)
     return items.assign(container_id=base + at[:, 0], container_start=at[:, 1])[["doc_id", "piece", "token_start", "n_tokens", "container_id", "container_start"]]
 
