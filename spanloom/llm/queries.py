@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
 from .containers import fill_containers
 from .encoding import count_tokens, encode_texts
+from .leakage import WINDOW, find_leaks, training_texts
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = training_texts(table(spark, sf_dir, "video_records"), table(spark, sf_dir, "conversations"))
+    return find_leaks(texts, table(spark, sf_dir, "eval_items"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where(F.col("run") >= WINDOW).select("tbl", "rec_id", "item_id")
+
+
+def p4_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its alignment score, edited copies included."""
+    return _leaks(spark, sf_dir)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +33,5 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(count_tokens(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p4_found": p4_found, "p4_aligned": p4_aligned, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict[str, str] = {}
