@@ -9,6 +9,7 @@ from ..session import table
 from .containers import fill_containers
 from .encoding import count_tokens, encode_texts
 from .leakage import WINDOW, find_leaks, training_texts
+from .shapes import listing_pages
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +34,9 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(count_tokens(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p4_found": p4_found, "p4_aligned": p4_aligned, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_aligned": p4_aligned, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
