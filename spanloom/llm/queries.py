@@ -9,9 +9,15 @@ from ..session import table
 from .containers import fill_containers
 from .encoding import count_tokens, encode_texts
 from .leakage import WINDOW, find_leaks, training_texts
+from .pairs import all_replies, broken_pairs, conversation_pairs, record_pairs
 from .shapes import listing_pages
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos, turns = table(spark, sf_dir, "video_records"), table(spark, sf_dir, "conversations")
+    return broken_pairs(record_pairs(videos).unionByName(conversation_pairs(turns)), all_replies(videos, turns))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = training_texts(table(spark, sf_dir, "video_records"), table(spark, sf_dir, "conversations"))
     return find_leaks(texts, table(spark, sf_dir, "eval_items"))
@@ -38,5 +44,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_aligned": p4_aligned, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_aligned": p4_aligned, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
