@@ -9,6 +9,7 @@ from ..session import table
 from .containers import fill_containers
 from .encoding import count_tokens, encode_texts
 from .leakage import WINDOW, find_leaks, training_texts
+from .mixing import draw_mixture, plan_mixture, source_table, sourced_records
 from .pairs import all_replies, broken_pairs, conversation_pairs, record_pairs
 from .shapes import listing_pages
 
@@ -32,6 +33,20 @@ def p4_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    manifest = table(spark, sf_dir, "manifest")
+    records = sourced_records(table(spark, sf_dir, "visual_records"), table(spark, sf_dir, "video_records"), manifest)
+    return records, plan_mixture(records, table(spark, sf_dir, "mix_targets"), source_table(manifest), ["domain"])
+
+
+def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_mixture(*_mixture(spark, sf_dir))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -44,5 +59,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_aligned": p4_aligned, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_aligned": p4_aligned, "p5_mix": p5_mix, "p5_shares": p5_shares, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
