@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: Patterns of an answer, from most to least explicit; the first that hits wins.
 EXPLICIT = (
     r"answer\s*is\s*[:\-]?\s*\(?([A-Z])\)?",
@@ -13,7 +15,7 @@ EXPLICIT = (
     r"^\s*([A-Z])\s*[\.\):,]",
     r"^\s*([A-Z])\s*$",
 )
-LAST_RESORT = r"\b([A-Z])\b"
+LAST_RESORT = r"(?U)\b([A-Z])\b"
 
 
 def _hit(text: Column, pattern: str) -> Column:
@@ -26,18 +28,18 @@ def predicted_letter(prediction: Column) -> Column:
     Markers in angle brackets are blanked, then the explicit patterns are tried
     without regard to case, then the first capital that stands alone.
     """
-    text = F.trim(F.regexp_replace(prediction, "<[^>]*>", " "))
-    return F.upper(F.coalesce(*(_hit(text, "(?i)" + p) for p in EXPLICIT), _hit(text, LAST_RESORT)))
+    text = strip(F.regexp_replace(prediction, "<[^>]*>", " "))
+    return F.upper(F.coalesce(*(_hit(text, "(?iU)" + p) for p in EXPLICIT), _hit(text, LAST_RESORT)))
 
 
 def gold_letter(label: Column) -> Column:
     """A gold label as a letter; one that holds no letter comes out trimmed, in capitals."""
-    return F.coalesce(predicted_letter(label), F.upper(F.trim(label)))
+    return F.coalesce(predicted_letter(label), F.upper(strip(label)))
 
 
 def option_letter(answer: Column, choices: Column) -> Column:
     """The letter of an answer that is a letter itself or the text of a choice."""
-    bare = F.trim(answer)
+    bare = strip(answer)
     place = F.array_position(choices, bare)
     return F.when(bare.rlike("^[A-Za-z]$"), F.upper(bare)).when(place > 0, F.char(place + 64)).otherwise(gold_letter(bare))
 

@@ -15,7 +15,7 @@ PURE_BOX = r"^[\[\(]?\s*(?:[-+]?\d+(?:\.\d+)?\s*,\s*){3}[-+]?\d+(?:\.\d+)?\s*[\]
 
 def strip(text: Column) -> Column:
     """Without outer white space of any kind; trim cuts blanks only."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def chat_role(role: Column) -> Column:

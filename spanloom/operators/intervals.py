@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Longest time that is kept, in milliseconds: microseconds of a timestamp must hold it.
 MAX_MS = 9_000_000_000_000_000
 BUCKET_MS = 600_000
@@ -58,7 +60,7 @@ def merge_intervals(spans: DataFrame, key: str, start: str, end: str, bucket_ms:
     duration = F.concat((F.col("e") - F.col("s")).cast("string"), F.lit(" milliseconds"))
     session = F.session_window(F.timestamp_millis("s"), duration)
     merged = rows.groupBy("k", "b", session.alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    merged = merged.select("k", "b", F.unix_millis("w.start").alias("s"), F.unix_millis("w.end").alias("e"))
+    merged = checkpointed(merged.select("k", "b", F.unix_millis("w.start").alias("s"), F.unix_millis("w.end").alias("e")))
 
     in_bucket = Window.partitionBy("k", "b").orderBy("s")
     before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)

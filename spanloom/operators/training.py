@@ -9,8 +9,8 @@ from .. import config
 
 
 def shifted_labels(tokens: DataFrame, masked: int) -> DataFrame:
-    """tokens (seq, pos, label) with target: the next position's label, the masked token ignored; and before: the previous label."""
-    by = Window.partitionBy("seq").orderBy("pos")
+    """tokens (seq, pos, label) with target: the next position's label, the masked token ignored; and before: the previous label. Repeated positions stand in the order of their labels."""
+    by = Window.partitionBy("seq").orderBy("pos", "label")
     after = F.lead("label").over(by)
     return tokens.select("seq", "pos", "label", F.when(after == masked, F.lit(config.IGNORE_INDEX)).otherwise(after).alias("target"), F.lag("label").over(by).alias("before"))
 

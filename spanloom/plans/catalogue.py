@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import core_problems, record_queries, relation_queries, scoring_queries
 
-FLAGSHIP = "p2_found"
-QUERIES = dict(core_problems.QUERIES)
-ORACLE = dict(core_problems.ORACLE)
+FLAGSHIP = "score_by_category"
+QUERIES: dict = {}
+ORACLE: dict = {}
+for part in (core_problems, scoring_queries, record_queries, relation_queries):
+    QUERIES |= part.QUERIES
+    ORACLE |= part.ORACLE
