@@ -29,14 +29,12 @@ def span_pairs(text: Column) -> Column:
     Stays in the JVM; the grammar is checked by replacing each pair by a mark.
     """
     skeleton = F.regexp_replace(F.regexp_replace(text, _PAIR, _MARK), r"[ \t\r\n]+", "")
-    skeleton = F.replace(skeleton, F.lit(_MARK + ","), F.lit(""))
-    shaped = skeleton.isin(_MARK, f"[{_MARK}]") & ~F.contains(text, F.lit(_MARK))
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(f"({_NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), (F.size(numbers) / 2).cast("int") - 1),
-        lambda i: F.array(F.get(numbers, i * 2), F.get(numbers, i * 2 + 1)),
-    )
-    fit = F.forall(numbers, lambda x: (x >= 0) & (x < F.lit(float("inf"))))
+    listed = F.replace(skeleton, F.lit(_MARK + ","), F.lit("")) == f"[{_MARK}]"
+    shaped = ((skeleton == _MARK) | listed) & ~F.contains(text, F.lit(_MARK))
+    parts = F.regexp_extract_all(text, F.lit(f"({_PAIR})"), F.lit(1))
+    side = rf"({_NUMBER})[^,]*,[^0-9-]*({_NUMBER})"
+    pairs = F.transform(parts, lambda p: F.array(*(F.regexp_extract(p, side, i).cast("double") for i in (1, 2))))
+    fit = F.forall(pairs, lambda p: (F.array_min(p) >= 0) & (F.array_max(p) < F.lit(float("inf"))))
     return F.when(shaped & fit, pairs)
 
 
