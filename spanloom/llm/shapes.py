@@ -35,8 +35,8 @@ REPEATED_PHRASE = 0.45
 FRESH_WORDS = 0.8
 
 _LINK = regex.compile(
-    r"<a\b[^>]*>.*?</a\s*>|!?\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"'|，、；]+|\b[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+",
-    regex.IGNORECASE | regex.DOTALL,
+    r"<a\b[^<>]{0,1000}>[^<]{0,1000}</a\s*>|!?\[[^\]\[\n]{0,300}\]\([^)\s(]{0,2000}\)|(?:https?://|www\.)[^\s<>\"'|，、；]+|\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+",
+    regex.IGNORECASE,
 )
 _MARK = "\ue000"
 _BREAK = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]|<br\s*/?>|</?(?:p|li|ul|ol|div|td|tr)\s*>", re.IGNORECASE)
