@@ -84,7 +84,7 @@ def read_configs(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for name in names:
         rows = spark.read.parquet(os.path.join(folder, name))
-        images = compact_images(*(F.col(c) for c in ("image_1", "image_2", "image_3", "image_4") if c in rows.columns))
+        images = compact_images(*(F.col(c) for c in ("image_1", "image_2", "image_3", "image_4") if dict(rows.dtypes).get(c) in ("binary", "string")))  # a column of nulls alone has no such type
         parts.append(rows.select(F.col("idx").cast("string").alias("question_id"), images.alias("image"), X.lettered_prompt(F.col("question"), F.col("choices")).alias("query"), bracketed_letter(F.col("answer")).alias("label"), F.lit(name).alias("category")))
     return union_all(parts)
 
