@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import checkpointed, table
 from .containers import fill_containers
 from .encoding import count_tokens, encode_texts
 from .leakage import WINDOW, find_leaks, training_texts
@@ -35,7 +35,7 @@ def p4_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     manifest = table(spark, sf_dir, "manifest")
-    records = sourced_records(table(spark, sf_dir, "visual_records"), table(spark, sf_dir, "video_records"), manifest)
+    records = checkpointed(sourced_records(table(spark, sf_dir, "visual_records"), table(spark, sf_dir, "video_records"), manifest))
     return records, plan_mixture(records, table(spark, sf_dir, "mix_targets"), source_table(manifest), ["domain"])
 
 
