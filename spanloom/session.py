@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,22 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by Python workers that don't find it on their path."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    known = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if str(root) not in known and sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spanloom-"), "spanloom"), "zip", root, "spanloom"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
