@@ -14,6 +14,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,10 +57,32 @@ def sentences(texts: pd.Series) -> pd.Series:
     return pd.Series([[s for p in _SENTENCE_END.split(fold(t)) if (s := " ".join(_WORD.findall(p)))] if t else [] for t in texts], dtype="object")
 
 
-def word_ngrams(words: Column, n: int) -> Column:
-    """Hashes of the n-grams of an array of words, in order; none if it is shorter than n."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_CODES: dict[str, int] = {}
+
+
+def gram_hashes(words: list[str], n: int) -> np.ndarray:
+    """Hashes of the n-grams of a list of words, in order, as signed 64-bit integers."""
+    if len(words) < n:
+        return np.empty(0, dtype=np.int64)
+    if len(_CODES) > 500_000:
+        _CODES.clear()
+    code = np.array([_CODES.get(w) or _CODES.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], dtype=np.uint64)
+    total, last = np.zeros(len(words) - n + 1, dtype=np.uint64), len(words) - n + 1
+    for k in range(n):
+        total = total * _BASE + code[k : k + last]
+    return (total ^ (total >> np.uint64(29))).view(np.int64)
+
+
+def word_ngrams(text: Column, n: int, distinct: bool = False) -> Column:
+    """Hashes of a text's word n-grams, in order or each once; none if it is shorter than n words."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def hashed(texts: pd.Series) -> pd.Series:
+        found = [gram_hashes(words_of(t), n) if t else np.empty(0, dtype=np.int64) for t in texts]
+        return pd.Series([np.unique(g) for g in found] if distinct else found, dtype="object")
+
+    return hashed(text)
 
 
 def item_passages(items: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
@@ -114,11 +137,10 @@ def find_leaks(texts: DataFrame, items: DataFrame, window: int = WINDOW, seed: i
     empty tables give an empty result.
     """
     passages = checkpointed(item_passages(items.select("item_id", "question"), shared_by).where(F.size(F.split("passage", " ")) >= window))
-    grams = passages.select("item_id", "passage", F.posexplode(word_ngrams(F.split("passage", " "), seed)).alias("at", "gram"))
+    grams = checkpointed(passages.select("item_id", "passage", F.posexplode(word_ngrams(F.col("passage"), seed)).alias("at", "gram")))
 
     raw = texts.select("tbl", "rec_id", "text").where(F.length("text") > 0).withColumn("row", F.xxhash64("tbl", "rec_id", "text"))
-    words = spread(raw).select("row", normal_words("text").alias("t")).select("row", F.split("t", " ").alias("w"))
-    corpus = words.select("row", F.array_distinct(word_ngrams(F.col("w"), seed)).alias("grams"))
+    corpus = spread(raw).select("row", word_ngrams(F.col("text"), seed, distinct=True).alias("grams"))
     wanted = maybe_broadcast(grams.select("gram").distinct(), BROADCAST_ROWS)
     hits = checkpointed(corpus.select("row", F.explode("grams").alias("gram")).join(wanted, "gram"))
 
