@@ -34,7 +34,10 @@ ASKED = re.compile(
     r"anglais|allemand|français|espagnol|chinois|inglés|alemán|francés|español|chino|translat\w*|übersetz\w*|tradui\w*|traduc\w*)\b|英语|英文|德语|法语|西班牙语|中文|汉语|日语|韩语|俄语|翻译",
     re.IGNORECASE,
 )
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _k, _v in FUNCTION_WORDS.items():
+    for _w in set(_v.split()):
+        _LANGUAGES_OF.setdefault(_w, []).append(_k)
 _LETTERS = re.compile(r"[^\W\d_]+")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’]*’|「[^」]*」")
 _SCRIPTS = ("LATIN", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "THAI")
@@ -63,10 +66,14 @@ def latin_scores(text: str) -> tuple[dict[str, float], int]:
     words = [w for w in _LETTERS.findall(text.lower()) if len(w) > 1 or w in "aoyeiàéwz"]
     if not words:
         return {}, 0
-    scores = {k: sum(w in s for w in words) / len(words) for k, s in _SETS.items()}
-    for c in set(text.lower()):
-        if c in TELLING:
-            scores[TELLING[c]] += 0.25
+    scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    for w in words:
+        for k in _LANGUAGES_OF.get(w, ()):
+            scores[k] += 1 / len(words)
+    if not text.isascii():
+        for c in set(text.lower()):
+            if c in TELLING:
+                scores[TELLING[c]] += 0.25
     return scores, len(words)
 
 

@@ -93,6 +93,8 @@ def bare(reply: str) -> str:
 
 def is_empty(text: str) -> bool:
     """Whether nothing but blanks, punctuation or a stand-in for nothing is left of a bare reply."""
+    if len(text) > 60 and any(map(str.isalnum, text)):
+        return False
     visible = "".join(c for c in text if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Sc", "Sm", "So"))
     if not visible or all(unicodedata.category(c) == "So" for c in visible):
         return not any(unicodedata.category(c) == "So" for c in visible)
