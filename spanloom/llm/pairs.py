@@ -62,7 +62,9 @@ REFUSAL_START = 16
 #: Occurrences from which on an ending is judged by its counts, and the share of endings under which it isn't one.
 SEEN = 20
 RARE_END = 0.01
-#: A cut word is seen at most so often, and a longer word beginning with it so many times as often.
+#: A cut word is hardly ever seen: a longer word beginning with it is seen so many times as often, or it is seen at most
+#: so often at all and the longer word more often by a lesser factor.
+CUT_SHARE = 200
 CUT_SEEN = 2
 CUT_FACTOR = 4
 BROADCAST_ROWS = 1_000_000
@@ -204,7 +206,7 @@ def tail_of(text: str) -> tuple[str, list[str]] | None:
     if loose and len(words) < 4:
         return None  # an answer in a word or two
     last = re.split(r"[.!?。！？]+\s*", folded)[-1]
-    return "loose" if loose else "open", _TOKEN.findall(last.lower())[-3:]
+    return "loose" if loose or len(words) < 3 else "open", _TOKEN.findall(last.lower())[-3:]
 
 
 JUDGED = T.StructType([T.StructField("defect", T.StringType()), T.StructField("state", T.StringType()), T.StructField("tail", T.ArrayType(T.StringType()))])
@@ -285,19 +287,21 @@ def broken_pairs(pairs: DataFrame, replies: DataFrame) -> DataFrame:
 
     tails = first.where(F.col("defect").isNull()).select("tbl", "rec_id", "turn", "state", *(F.when(F.size("tail") >= n, F.array_join(F.slice("tail", -n, n), " ")).alias(f"g{n}") for n in (1, 2, 3)))
     wanted = tails.select(F.explode(F.array("g1", "g2", "g3")).alias("gram")).where(F.col("gram").isNotNull()).distinct()
-    counts = checkpointed(_endings(replies, maybe_broadcast(wanted, BROADCAST_ROWS)))
+    counts = maybe_broadcast(checkpointed(_endings(replies, maybe_broadcast(wanted, BROADCAST_ROWS))), BROADCAST_ROWS)
     for n in (1, 2, 3):
         tails = tails.join(counts.select(F.col("gram").alias(f"g{n}"), F.col("ends").alias(f"e{n}"), F.col("goes_on").alias(f"c{n}")), f"g{n}", "left")
     tails = tails.fillna(0, [f"{x}{n}" for x in "ec" for n in (1, 2, 3)])
     total = [F.lit(0), *(F.col(f"e{n}") + F.col(f"c{n}") for n in (1, 2, 3))]
     tails = checkpointed(tails.withColumns({"n1": total[1], "n2": total[2], "n3": total[3]}))
-    rare = tails.where((F.col("n1") <= CUT_SEEN) & (F.length("g1") > 1)).select(F.col("g1").alias("word")).distinct()
+    rare = tails.where((F.length("g1") > 1) & F.col("g2").isNotNull()).select(F.col("g1").alias("word")).distinct()
     longer = checkpointed(_longer_words(replies, maybe_broadcast(rare, BROADCAST_ROWS)))
-    tails = tails.join(longer.withColumnRenamed("word", "g1"), "g1", "left").fillna(0, ["longer"])
+    tails = tails.join(maybe_broadcast(longer.withColumnRenamed("word", "g1"), BROADCAST_ROWS), "g1", "left").fillna(0, ["longer"])
 
     never = [F.lit(False), *((F.col(f"n{n}") >= SEEN) & (F.col(f"e{n}") < RARE_END * F.col(f"n{n}")) for n in (1, 2, 3))]
     closed = F.col("g1").isin(*sorted(OPEN_WORDS)) & (F.col("e2") == 0)
-    cut = F.col("g2").isNotNull() & (F.col("n1") <= CUT_SEEN) & (F.col("longer") >= CUT_FACTOR * F.greatest(F.col("n1"), F.lit(1)))
+    seldom = (F.col("n1") > 0) & (F.col("longer") >= CUT_SHARE * F.col("n1"))
+    never_seen = (F.col("n1") <= CUT_SEEN) & (F.col("longer") >= CUT_FACTOR * F.greatest(F.col("n1"), F.lit(1)))
+    cut = F.col("g2").isNotNull() & (seldom | never_seen)
     unfinished = closed | cut | ((F.col("state") == "open") & (never[1] | never[2] | never[3]))
     late = tails.where(unfinished).select("tbl", "rec_id", "turn", F.lit("truncated").alias("defect"))
     return first.where(F.col("defect").isNotNull()).select("tbl", "rec_id", "turn", "defect").unionByName(late)

@@ -72,7 +72,8 @@ def test_truncated_by_the_corpus(spark):
     whole = [f"The man lifts the {n}. A girl turns the {n} over slowly." for n in ("basket", "kettle", "umbrella", "ladder") for _ in range(30)]
     cases = {"The man lifts the umbrel": True, "A girl turns": True, "The man lifts the": True, "The man lifts the kettle": False, "A girl turns the basket over slowly": False, "the kettle": False, "No": False, "The man lifts the ladder...": False, "A girl turns the...": True}
     rows = [("t", i, 0, Q, r, "x") for i, r in enumerate(cases)]
-    corpus = spark.createDataFrame([(r,) for r in [*whole, *cases, None, ""]], "reply string")
+    spanish = ["El hombre no dice nada."] * 40  # "no" goes on here, and is an answer all the same
+    corpus = spark.createDataFrame([(r,) for r in [*whole, *spanish, *cases, None, ""]], "reply string")
     got = {r.rec_id: r.defect for r in broken_pairs(spark.createDataFrame(rows, PAIRS), corpus).collect()}
     assert got == {i: "truncated" for i, cut in enumerate(cases.values()) if cut}
 
