@@ -124,6 +124,12 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 
 
+def in_folder(path: Column, folder: Column) -> Column:
+    """A path under its folder, unless it is absolute, an address, or there is no folder."""
+    whole = F.startswith(path, F.lit("/")) | F.startswith(path, F.lit("http"))
+    return F.when(whole | folder.isNull() | (folder == ""), path).otherwise(F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"), path))
+
+
 def stem(name: Column) -> Column:
     """A file name without its last ending; a leading dot begins none."""
     return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")

@@ -63,6 +63,24 @@ def weighted_draw(steps: DataFrame, step: str, weights: DataFrame, source: str,
     return drawn.select(step, F.get(F.filter("bounds", lambda b: (F.col("u") >= b["lo"]) & (F.col("u") < b["hi"])), F.lit(0))[source].alias(source))
 
 
+def drain(df: DataFrame, source: str, ord: str, weights: DataFrame, seed: int, block: int = 100_000) -> DataFrame:
+    """(source, ord, time): the order in which sources drawn by weight, each in its own order, run empty.
+
+    Every row of a source waits an exponential time of the source's weight as
+    rate. Sorted by time, each step is a draw among the sources still live with
+    their weights renormalised; an empty one just falls out. Sums run per block
+    of a source and are carried on by one row per block. Sources without a
+    positive weight are never drawn.
+    """
+    small = maybe_broadcast(weights.where("weight > 0").select(source, F.col("weight").cast("double").alias("_w")), BROADCAST_ROWS)
+    wait = -F.log(F.lit(1.0) - unit_interval(seeded_key(seed, F.col(source), F.col(ord)))) / F.col("_w")
+    rows = df.select(source, ord).join(small, source).select(source, ord, wait.alias("_wait"), F.floor(F.col(ord) / block).alias("_block"))
+    sums = rows.groupBy(source, "_block").agg(F.sum("_wait").alias("_sum"))
+    carried = F.sum("_sum").over(Window.partitionBy(source).orderBy("_block")) - F.col("_sum")
+    inside = F.sum("_wait").over(Window.partitionBy(source, "_block").orderBy(ord).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums.select(source, "_block", carried.alias("_carry")), [source, "_block"]).select(source, ord, (F.col("_carry") + inside).alias("time"))
+
+
 def replay(df: DataFrame, epochs: int, ord: str, n_rows: int) -> DataFrame:
     """Every row once per epoch, at position epoch * n_rows + ord."""
     ids = F.sequence(F.lit(0), F.lit(epochs - 1))

@@ -92,6 +92,18 @@ def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_draw(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", weights, "ds_name", SEED)
 
 
+def drain_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders by status, drawn until all are used; the rank of the draw stands for its time."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("ord"))
+    weights = rows.groupBy("status").agg((F.count(F.lit(1)) + F.length("status")).alias("weight"))
+    return sampling.drain(rows, "status", "ord", weights, SEED).select("status", "ord", F.round("time", 6).alias("time"))
+
+
+def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = table(spark, sf_dir, "manifest").select("data_path", F.col("image_folder").alias("folder"))
+    return manifest.select("data_path", "folder", X.in_folder(F.col("data_path"), F.col("folder")).alias("path"))
+
+
 def epoch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("ord"))
     return sampling.replay(parts, 3, "ord", 20000)
@@ -230,6 +242,8 @@ QUERIES = {
     "latest_checkpoints": latest_checkpoints,
     "mixture_weights": mixture_weights,
     "weighted_draw": weighted_draw,
+    "drain_sources": drain_sources,
+    "resolved_paths": resolved_paths,
     "epoch_replay": epoch_replay,
     "chunk_batches": chunk_batches,
     "pad_and_mask": pad_and_mask,
@@ -276,6 +290,11 @@ WITH w AS (SELECT ds_name, CAST(target_share AS DECIMAL(9, 6)) AS weight FROM mi
 b AS (SELECT ds_name, sum(weight) OVER (ORDER BY ds_name) - weight AS lo, CASE WHEN lead(ds_name) OVER (ORDER BY ds_name) IS NULL THEN 2 ELSE sum(weight) OVER (ORDER BY ds_name) END AS hi FROM w),
 u AS (SELECT o_orderkey, CAST(('0x' || substr(md5('{SEED}_' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM orders)
 SELECT o_orderkey, ds_name FROM u JOIN b ON u.u >= CAST(b.lo AS DOUBLE) AND u.u < CAST(b.hi AS DOUBLE)""",
+    "drain_sources": f"""
+WITH w AS (SELECT o_orderstatus AS status, count(*) + length(o_orderstatus) AS weight FROM orders GROUP BY o_orderstatus)
+SELECT status, o_orderkey AS ord, round(sum(-ln(1 - CAST(('0x' || substr(md5('{SEED}_' || status || '_' || o_orderkey), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE) / weight) OVER (PARTITION BY status ORDER BY o_orderkey), 6) AS time
+FROM orders JOIN w ON w.status = orders.o_orderstatus""",
+    "resolved_paths": "SELECT data_path, image_folder AS folder, CASE WHEN data_path LIKE '/%' OR data_path LIKE 'http%' OR coalesce(image_folder, '') = '' THEN data_path ELSE rtrim(image_folder, '/') || '/' || data_path END AS path FROM manifest",
     "epoch_replay": "SELECT p_partkey - 1 AS ord, CAST(e AS INTEGER) AS epoch, e * 20000 + p_partkey - 1 AS position FROM part, range(3) r(e)",
     "chunk_batches": "SELECT (doc_id - 10000) // 32 AS batch, count(*) AS n_rows, (count(*) + 4) // 5 AS n_chunks FROM documents GROUP BY (doc_id - 10000) // 32",
     "pad_and_mask": f"""

@@ -115,3 +115,14 @@ def test_sampling(spark):
     assert [r.id for r in sampling.seeded_head(df, 0, 3, "id").collect()] == [0, 1, 2]
     assert sampling.seeded_head(df, 42, None, "id").count() == 10
     assert [r.id for r in sampling.latest(df, 2, "id").collect()] == [9, 8]
+
+
+def test_drain(spark):
+    df = spark.createDataFrame([("a", i) for i in range(50)] + [("b", i) for i in range(50)] + [("c", 0)], "s string, ord bigint")
+    weights = spark.createDataFrame([("a", 9.0), ("b", 1.0), ("c", 0.0)], "s string, weight double")
+    got = sampling.drain(df, "s", "ord", weights, 42, block=7).orderBy("time").collect()
+    assert len(got) == 100 and {r.s for r in got} == {"a", "b"}
+    for name in "ab":
+        assert [r.ord for r in got if r.s == name] == list(range(50))
+    assert sum(r.s == "a" for r in got[:50]) > 35
+    assert sampling.drain(df.limit(0), "s", "ord", weights, 42).count() == 0
