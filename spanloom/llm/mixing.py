@@ -144,8 +144,8 @@ def sourced_records(visuals: DataFrame, videos: DataFrame, manifest: DataFrame)
     """(tbl, rec_id, ds_name) of every record whose file the manifest lists, redelivery ignored."""
 
     def one(df: DataFrame, tbl: str, key: str) -> DataFrame:
-        latest = df.groupBy(F.col(key).alias("rec_id")).agg(F.max_by("data_path", F.struct("loaded_at", "data_path")).alias("p"))
-        return latest.select(F.lit(tbl).alias("tbl"), "rec_id", clean_path(F.col("p")).alias("path"))
+        latest = df.groupBy(F.col(key).alias("rec_id")).agg(F.max(F.struct("loaded_at", "data_path")).alias("p"))
+        return latest.select(F.lit(tbl).alias("tbl"), "rec_id", clean_path(F.col("p.data_path")).alias("path"))
 
     records = one(visuals, "visual_records", "conv_id").unionByName(one(videos, "video_records", "rec_id"))
     return records.join(maybe_broadcast(source_table(manifest).select("path", "ds_name"), BROADCAST_ROWS), "path").select("tbl", "rec_id", "ds_name")

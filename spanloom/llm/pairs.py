@@ -309,7 +309,7 @@ def broken_pairs(pairs: DataFrame, replies: DataFrame) -> DataFrame:
 
 def record_pairs(videos: DataFrame) -> DataFrame:
     """Question and answer of each rec_id; of a record delivered again, the latest delivery."""
-    latest = videos.groupBy("rec_id").agg(F.max_by(F.struct("question", "answer"), F.struct("loaded_at", "question", "answer")).alias("r"))
+    latest = videos.groupBy("rec_id").agg(F.max(F.struct("loaded_at", "question", "answer")).alias("r"))
     return latest.select(F.lit("video_records").alias("tbl"), "rec_id", F.lit(0).cast("bigint").alias("turn"), F.col("r.question").alias("prompt"), F.col("r.answer").alias("reply"))
 
 
@@ -319,7 +319,7 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     A conversation is looked at in blocks of turns, so a very long one is no
     single task; what a block needs of its neighbours comes from one row each.
     """
-    latest = turns.groupBy("conv_id", "turn").agg(F.max_by(F.struct("role", "text"), F.struct("loaded_at", "role", "text")).alias("t"))
+    latest = turns.groupBy("conv_id", "turn").agg(F.max(F.struct("loaded_at", "role", "text")).alias("t"))
     latest = latest.select("conv_id", "turn", F.floor(F.col("turn") / BLOCK).alias("block"), "t.role", "t.text")
     asks = F.col("role").isin(*ASKING)
     marked = F.regexp_replace("text", r"(?iU)<image>|\s+", "")
