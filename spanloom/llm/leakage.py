@@ -1,8 +1,10 @@
 """Find evaluation questions that stand, wholly or in part, in training texts.
 
-Every window of consecutive words of an item is represented by its rarest word
-n-gram in the corpus (its seed), so common phrases never make candidates. Texts
-that hold a seed are aligned with the item by Smith-Waterman over words, which
+Every window of consecutive words of an item is represented by seeds: the rarest
+of its word n-grams that occur in the corpus, then the rarest that has no word
+in common with it, and so on. An edited word spoils only one of them, and a
+rarer n-gram of another record's copy doesn't hide an edited one. Texts that
+hold a seed are aligned with the item by Smith-Waterman over words, which
 scores edited copies as well; the longest run of equal words in the alignment
 matrix tells whether a passage was copied word for word.
 """
@@ -125,13 +127,23 @@ def aligned(texts: pd.Series, passages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align(p.split(" "), t.split(" ")) for t, p in zip(texts, passages, strict=True)], columns=["score", "run"])
 
 
-def find_leaks(texts: DataFrame, items: DataFrame, window: int = WINDOW, seed: int = SEED, shared_by: int = SHARED_BY) -> DataFrame:
+def apart(grams: str, seed: int) -> Column:
+    """Of a window's n-grams (n, gram, at) in order of rarity, each that shares no word with one taken before."""
+    return F.aggregate(
+        grams,
+        F.slice(grams, 1, 1),
+        lambda taken, g: F.when(F.exists(taken, lambda t: F.abs(t["at"] - g["at"]) < seed), taken).otherwise(F.concat(taken, F.array(g))),
+    )
+
+
+def find_leaks(texts: DataFrame, items: DataFrame, window: int = WINDOW, seed: int = SEED, shared_by: int = SHARED_BY, edited: bool = True) -> DataFrame:
     """(tbl, rec_id, item_id, score, run): training records that share a seed with an item.
 
     texts: tbl, rec_id, text (several rows of a record count as one). score is
     the best Smith-Waterman score of the record's texts with the item's
     passages, run the longest run of equal consecutive words. Every record
-    with a run of at least window words is found. Null or empty texts and
+    with a run of at least window words is found; without edited, candidates
+    that can't hold such a run are left out. Null or empty texts and
     questions, and items shorter than the window, match nothing; null ids are
     kept as ids; repeated rows change nothing; extra columns are ignored;
     empty tables give an empty result.
@@ -145,10 +157,13 @@ def find_leaks(texts: DataFrame, items: DataFrame, window: int = WINDOW, seed: i
     hits = checkpointed(corpus.select("row", F.explode("grams").alias("gram")).join(wanted, "gram"))
 
     spread_of = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rated = grams.join(spread_of, "gram", "left").select("item_id", "passage", "at", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
-    per_window = rated.select("item_id", "passage", "g", F.explode(F.sequence(F.greatest(F.col("at") - (window - seed), F.lit(0)), F.col("at"))).alias("start"))
+    rated = grams.join(spread_of, "gram").select("item_id", "passage", F.struct("n", "gram", "at").alias("g"))
+    per_window = rated.select("item_id", "passage", "g", F.explode(F.sequence(F.greatest(F.col("g.at") - (window - seed), F.lit(0)), F.col("g.at"))).alias("start"))
     per_window = per_window.where(F.col("start") <= F.size(F.split("passage", " ")) - window)
-    seeds = per_window.groupBy("item_id", "passage", "start").agg(F.min("g").alias("g")).where("g.n > 0")
+    per_window = per_window.groupBy("item_id", "passage", "start").agg(F.array_sort(F.collect_list("g")).alias("g"))
+    if not edited:
+        per_window = per_window.where(F.size("g") == window - seed + 1).withColumn("g", F.slice("g", 1, 1))
+    seeds = per_window.select("item_id", "passage", F.explode(apart("g", seed)).alias("g"))
     seeds = checkpointed(seeds.select("item_id", "passage", F.col("g.gram").alias("gram")).distinct())
 
     candidates = checkpointed(hits.join(maybe_broadcast(seeds, BROADCAST_ROWS), "gram").select("row", "item_id", "passage").distinct())

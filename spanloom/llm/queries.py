@@ -19,18 +19,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs(record_pairs(videos).unionByName(conversation_pairs(turns)), all_replies(videos, turns))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str, edited: bool) -> DataFrame:
     texts = training_texts(table(spark, sf_dir, "video_records"), table(spark, sf_dir, "conversations"))
-    return find_leaks(texts, table(spark, sf_dir, "eval_items"))
+    return find_leaks(texts, table(spark, sf_dir, "eval_items"), edited=edited)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).where(F.col("run") >= WINDOW).select("tbl", "rec_id", "item_id")
+    return _leaks(spark, sf_dir, edited=False).where(F.col("run") >= WINDOW).select("tbl", "rec_id", "item_id")
 
 
 def p4_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with its alignment score, edited copies included."""
-    return _leaks(spark, sf_dir)
+    return _leaks(spark, sf_dir, edited=True)
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -69,6 +69,18 @@ def test_cases(spark):
     assert found(spark, texts, items) == want and {("a", 1, 1), (None, None, 1), ("b", 7, 13)} <= want and ("a", 4, 10) not in want
 
 
+def test_edited_copies(spark):
+    """An edited copy is a candidate, alone as well as beside a whole copy of the same item."""
+    a, b = LONG.split(), [f"w{i}" for i in range(24)]
+    cut = lambda words, *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    items = spark.createDataFrame([(1, LONG, "x"), (2, " ".join(b), "x")], ITEMS)
+    rows = [("alone", 1, cut(a, 5)), ("whole", 2, " ".join(b)), ("beside", 3, cut(b, 7, 15)), ("other", 4, "nothing of it")]
+    texts = spark.createDataFrame([(*r, "x") for r in rows], TEXTS)
+    got = {(r.tbl, r.item_id): r.run for r in find_leaks(texts, items).collect()}
+    assert got == {("alone", 1): 8, ("whole", 2): 24, ("beside", 2): 8}
+    assert {r.tbl for r in find_leaks(texts, items, edited=False).collect() if r.run >= 12} == {"whole"}
+
+
 def test_empty(spark):
     assert found(spark, [], [(1, LONG)]) == set() == found(spark, [("a", 1, LONG)], [])
 
