@@ -33,10 +33,11 @@ def p4_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir, edited=True)
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sourced records and the plan of their mixture; full plans as many uses as there are records."""
     manifest = table(spark, sf_dir, "manifest")
     records = checkpointed(sourced_records(table(spark, sf_dir, "visual_records"), table(spark, sf_dir, "video_records"), manifest))
-    return records, plan_mixture(records, table(spark, sf_dir, "mix_targets"), source_table(manifest), ["domain"])
+    return records, plan_mixture(records, table(spark, sf_dir, "mix_targets"), source_table(manifest), ["domain"], records.count() if full else None)
 
 
 def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,11 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p5_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mixture as large as all records: what small sources can't fill passes to siblings before ancestors."""
+    return _mixture(spark, sf_dir, full=True)[1]
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -59,5 +65,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_aligned": p4_aligned, "p5_mix": p5_mix, "p5_shares": p5_shares, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_aligned": p4_aligned, "p5_mix": p5_mix, "p5_shares": p5_shares, "p5_shares_full": p5_shares_full, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}

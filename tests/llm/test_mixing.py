@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -76,3 +77,16 @@ def test_query(spark, small):
     shares = {r.ds_name: r for r in p5_shares(spark, small).collect()}
     used = Counter(r.ds_name for r in p5_mix(spark, small).collect())
     assert len(shares) == 14 and used == {k: r.used for k, r in shares.items() if r.used}
+
+
+def test_query_redistributes(spark, small):
+    from spanloom.llm.queries import p5_shares, p5_shares_full
+
+    exact, full = ({r.ds_name: r for r in q(spark, small).collect()} for q in (p5_shares, p5_shares_full))
+    total = sum(r.n_records for r in full.values())
+    assert full.keys() == exact.keys() and sum(r.used for r in full.values()) == total > sum(r.used for r in exact.values())
+    short = [r for r in full.values() if r.used == r.capacity > 0 and r.used < math.floor(r.target_share * total)]
+    assert short and not any(r.used < math.floor(r.target_share * sum(x.used for x in exact.values())) for r in exact.values() if r.capacity)
+    videos = [full[k] for k in ("clip_moments", "cook_clips", "gate_cam", "sport_short")]
+    assert all(abs(r.used - r.target_share * total) <= 1 for r in videos)  # the short ones have siblings with room
+    assert any(r.used > r.target_share * total + 1 for r in full.values())
