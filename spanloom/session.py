@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -49,29 +51,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints and scratch tables, shared by all executors.
+
+    It is the cluster's spark.checkpoint.dir. Only a local session, whose
+    executors are this machine, may do without one and gets a temporary folder;
+    elsewhere an executor's own disk would hide files from the others, so a
+    missing setting is an error.
+    """
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="spanloom-checkpoint-")
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that a query writes and reads again."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage that outlives an executor.
 
-    The folder is the cluster's spark.checkpoint.dir; a folder of our own is
-    used only where the session names none (a local test).
+    Files of checkpoints that nothing refers to any longer are removed by
+    Spark's cleaner where spark.cleaner.referenceTracking.cleanCheckpoints is
+    set, as in DEFAULTS.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy Python stages at least one partition per core.
+    """Give CPU-heavy Python stages on a plain scan at least one partition per core.
 
     A scan of a large table already has more partitions than cores and passes
-    through unshuffled; only a small one is dealt out again.
+    through unshuffled; only a small one is dealt out again. Where the plan has
+    a shuffle, counting partitions would run it, so it passes through as well:
+    see keyed.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by keys into spark.sql.shuffle.partitions parts that stay apart.
+
+    For aggregations and windows by (some of) these keys whose rows then go
+    through CPU-heavy Python: they use this shuffle, and adaptive execution
+    doesn't merge its parts, light in bytes as they may be.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows, reading no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows
