@@ -100,6 +100,8 @@ def same_language(question: str, reply: str) -> bool | None:
     if not ours[spoken]:
         return None
     best = max(theirs, key=theirs.get)
+    if n >= 6 and ours[best] < ours[spoken] and theirs[best] >= 1.5 * theirs[spoken] and theirs[best] - theirs[spoken] >= 0.1:
+        return False  # related languages share words, but the reply's own ones lead
     near = [k for k in ours if ours[k] >= ours[spoken] * 0.75]
     same = max(theirs[k] for k in near)
     if best in near or theirs[best] <= same * 1.25:

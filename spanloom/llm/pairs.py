@@ -2,25 +2,28 @@
 
 Replies are aligned with their prompts (shingle containment, then longest
 common subsequence) to find copies, and with refusal templates (Smith-Waterman
-over words) to find refusals. Whether an unterminated reply stops before its
-end is decided by how often its last words end a sentence anywhere in the
-corpus, and a last word that the corpus knows only as the start of longer words
-is a cut one.
+over slots) to find refusals. Whether a reply stops before its end is decided
+by how often its last words end a sentence anywhere in the corpus, be there a
+full stop behind them or not, and a last word that stands nowhere else, where
+the words before it are followed by other ones, is a cut one.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpointed, maybe_broadcast, spread
+from ..session import checkpointed, keyed, maybe_broadcast, spread
+from .endings import TOKEN, count_endings, folded, gram_code, longest_rivals
 from .languages import ASKED, same_language, unquoted
-from .leakage import MATCH, align
+from .refusals import is_refusal_text
 
 #: Roles, markers, stand-ins for nothing, labels before a repeated question.
 ASKING = ("human", "user")
@@ -28,7 +31,7 @@ REPLYING = ("gpt", "assistant")
 MARKER = re.compile(r"</?(?:answer|image|video|bor|vr|eor)>|<\|[a-z_]{1,20}\|>", re.IGNORECASE)
 STAND_INS = frozenset("n a|na|nan|null|nil|nul|undefined|blank|empty|no answer|no response|no reply|not available|not applicable|missing|tbd|todo|unknown value|keine antwort|leer|sans réponse|vide|sin respuesta|vacío|无|空|空白|无答案|没有答案".split("|"))
 LEAD_IN = re.compile(r"\s*the answer is\s*:?\s*(?=\W|$)|\s*the answer is\s*:\s*", re.IGNORECASE)
-LABEL = re.compile(r"\s*(?:q|question|frage|pregunta|prompt|user|human|问题|问)\s*[:：]\s*", re.IGNORECASE)
+LABEL = re.compile(r"\A\s*(?:q|question|frage|pregunta|prompt|user|human|问题|问)\s*[:：]\s*", re.IGNORECASE)
 BOX_REQUEST = re.compile(r"\s*please provide the bounding box.*", re.IGNORECASE | re.DOTALL)
 
 #: Words that end no sentence, by which a rare ending is judged.
@@ -39,41 +42,22 @@ OPEN_WORDS = frozenset(
     "el los las una unos unas del y o pero con en para por sin al es son su sus muy cerca junto "
     "的 在 和 把 被 从 向 对 与 或 是 将 给 让 跟 于 并 而 但 及 里".split()
 )
-#: Refusals, each without case and punctuation.
-REFUSALS = tuple(
-    """i cannot help with|i can t help with|i cannot assist|i can t assist|i cannot answer|i can t answer|i cannot describe|i can t describe|i cannot provide|i can t provide|i cannot view|i can t view|i cannot see|i can t see images|i cannot identify|i can t identify|i cannot discuss|i can t discuss|i cannot comply|i can t comply|i cannot do that|i can t do that|i cannot fulfil|i can t share|i cannot share|i cannot say|i cannot comment|i can t comment
-i am unable to|i m unable to|i am not able to|i m not able to|i am not allowed to|i m not allowed to|i am not permitted to|i am not comfortable|i m not comfortable|not comfortable describing|not comfortable answering|not comfortable discussing|i am not in a position to
-i won t be describing|i won t be able to|i won t describe|i won t answer|i won t help|i will not describe|i will not answer|i will not be answering|i will not help|i will not provide|i d rather not|i would rather not|i would prefer not to|i prefer not to|i must decline|i have to decline|i must refuse|i decline to|i respectfully decline|i refuse to answer|i refuse to describe|i have to pass on this|i ll have to pass|i choose not to
-i don t have the ability|i do not have the ability|i don t have access to|i do not have access to|i lack the ability|it s not possible for me|it is not possible for me|it isn t possible for me|it is impossible for me|would go against my guidelines|goes against my guidelines|against my policy|violates my guidelines|my guidelines do not allow|my guidelines don t allow|outside of what this service may discuss|outside of what i may discuss|outside the scope of what i|beyond what i am allowed|that is something i cannot|no answer will be given|no description will be given|no reply will be given|this question will not be answered|this request cannot be fulfilled|this request is declined|request declined|request denied|request refused|let us talk about another topic|let s talk about another topic|let us talk about something else|let s talk about something else|let us change the subject|please ask about something else|please ask me something else
-as an assistant i|as an ai|as a language model|as an ai language model|being a language system|being a language model|being an assistant|as a language system
-ich kann dabei nicht helfen|ich kann ihnen nicht helfen|ich kann dir nicht helfen|ich kann diese frage nicht beantworten|diese frage kann ich nicht beantworten|diese frage möchte ich nicht beantworten|ich möchte diese frage nicht beantworten|ich möchte dazu nichts sagen|dazu möchte ich nichts sagen|dazu kann ich nichts sagen|dazu kann ich keine auskunft|darf ich diese aufnahme nicht|ich darf diese aufnahme nicht|ich darf das nicht|das darf ich nicht|kann ich diese aufnahme nicht|ich kann diese aufnahme nicht|ich kann keine bilder|ich kann keine videos|ist es mir nicht möglich|es ist mir nicht möglich|mir ist es nicht möglich|es tut mir leid aber|tut mir leid ich kann|tut mir leid das kann ich|tut mir leid dabei kann ich|als assistent|als ki|als sprachmodell|ich bin nicht in der lage|ich bin nicht befugt|ich bin nicht berechtigt|ich muss diese anfrage ablehnen|ich lehne diese anfrage ab|das muss ich ablehnen|leider kann ich|leider darf ich|ich beschreibe diese aufnahme nicht|anfrage abgelehnt
-je ne peux pas vous aider|je ne peux pas répondre|je ne peux pas décrire|je ne peux pas voir|je ne peux pas aider|je ne peux pas identifier|je ne peux pas|je ne suis pas autorisé|je ne suis pas en mesure|je ne suis pas capable|je ne suis pas à l aise|je préfère ne pas|je préférerais ne pas|je ne souhaite pas|je suis désolé je|je suis désolé mais|désolé je ne|désolée je ne|en tant qu assistant|en tant que modèle|en tant qu ia|je refuse de répondre|je refuse de décrire|je dois décliner|je dois refuser|il m est impossible|il ne m est pas possible|demande refusée
-no puedo ayudar|no puedo responder|no puedo describir|no puedo ver|no puedo identificar|no puedo contestar|no puedo hacer eso|lo siento no puedo|lo siento pero no|no me está permitido|no me es posible|no me siento cómodo|prefiero no responder|prefiero no|preferiría no|como asistente|como modelo de lenguaje|como ia|no soy capaz de|no estoy autorizado|no tengo permitido|no tengo permiso|me es imposible|debo rechazar|tengo que rechazar|debo negarme|me niego a responder|solicitud rechazada
-não posso ajudar|não posso responder|não posso descrever|sinto muito mas|prefiro não responder|non posso aiutare|non posso rispondere|non posso descrivere|mi dispiace ma|preferisco non rispondere
-我无法|我不能|我看不到|我看不见|无法回答|无法描述|无法提供|无法查看|不能回答|不能描述|不便回答|不便描述|不方便回答|不愿回答|拒绝回答|恕我|抱歉我|对不起我|很抱歉我|作为助手|作为一个助手|作为人工智能|作为语言模型|我不想回答|我不会描述|我不会回答|我拒绝|请求已被拒绝|请换个话题|换个话题|我们换个话题|不予回答|我没有权限|我没有能力""".replace("\n", "|").split("|")
-)
 #: Parts of a text that copies a question: share of its shingles found in the prompt, share of the question's words it repeats.
 CONTAINED = 0.8
 REPEATED = 0.9
-#: A refusal may differ from its template by so many words if the template has twice as many and one.
-TEMPLATE_EDITS = 1
-#: Words into a reply within which a refusal must begin.
-REFUSAL_START = 16
-#: Occurrences from which on an ending is judged by its counts, and the share of endings under which it isn't one.
-SEEN = 20
+#: Share of a gram's occurrences under which ends make it no ending: of an unterminated reply, and of one that a full stop ends.
 RARE_END = 0.01
-#: A cut word is hardly ever seen: a longer word beginning with it is seen so many times as often, or it is seen at most
-#: so often at all and the longer word more often by a lesser factor.
-CUT_SHARE = 200
-CUT_SEEN = 2
+RARE_STOP = 0.005
+#: Ends and occurrences added to every gram, so that a few occurrences decide nothing.
+PRIOR_ENDS, PRIOR_SEEN = 0.2, 2.0
+#: A cut word hardly stands anywhere but last, a longer word beginning with it is seen so many times as often, and it hardly ever follows the word before it.
+INNER_SHARE = 0.05
 CUT_FACTOR = 4
+FOLLOWING_SHARE = 0.05
 BROADCAST_ROWS = 1_000_000
 #: Turns of a conversation that are looked at together; a longer one is split among tasks.
 BLOCK = 4096
 
-_WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
-_TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+")
-_MARKED_TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+|[.!?。！？…]+")
 _SENTENCE = re.compile(r"[.!?。！？]+")
 _TERMINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*\Z")
 _DOTS = re.compile(r"(?:\.\s*){2,}\Z|…+\Z|(?<=。)\s*\.+\Z")
@@ -84,7 +68,7 @@ _APOSTROPHE = re.compile(r"['’ʼ]")
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(_APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower())
+    return TOKEN.findall(_APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower())
 
 
 def bare(reply: str) -> str:
@@ -128,6 +112,9 @@ def is_copy(prompt: str, text: str) -> bool:
     if len(said) < 3:
         return False
     asked = tokens(prompt)
+    known = set(asked)
+    if sum(w in known for w in said) < CONTAINED * (len(said) - 2):
+        return False
     n = 2 if len(said) < 12 else 3
     pool = set(_shingles(asked, n))
     own = _shingles(said, n)
@@ -138,30 +125,9 @@ def is_copy(prompt: str, text: str) -> bool:
     return lcs(question, said) >= REPEATED * len(question) and (lcs(asked, said) >= 0.5 * len(asked) or len(question) >= 5)
 
 
-_TEMPLATES: list[list[str]] = [tokens(t) for t in REFUSALS]
-_BY_PAIR: dict[tuple[str, str], list[int]] = {}
-for _i, _t in enumerate(_TEMPLATES):
-    for _p in set(zip(_t, _t[1:], strict=False)):
-        _BY_PAIR.setdefault(_p, []).append(_i)
-
-
 def is_refusal(text: str) -> bool:
-    """Whether the beginning of a bare reply, quotations left out, aligns with a refusal template."""
-    words = tokens(unquoted(text))
-    head = words[: REFUSAL_START + 12]
-    hits: dict[int, int] = {}
-    for p in zip(head, head[1:], strict=False):
-        for i in _BY_PAIR.get(p, ()):
-            hits[i] = hits.get(i, 0) + 1
-    for i in hits:
-        template = _TEMPLATES[i]
-        edits = TEMPLATE_EDITS if len(template) >= 6 and template[0] in ("i", "ich", "je", "no", "我") else 0
-        if hits[i] + 2 * edits < len(template) - 1:
-            continue
-        score, _ = align(template, head)
-        if score >= MATCH * len(template) - (MATCH + 1) * edits:
-            return True
-    return False
+    """Whether a bare reply, quotations left out, holds a refusal."""
+    return is_refusal_text(unquoted(text))
 
 
 def is_foreign(prompt: str, text: str) -> bool:
@@ -173,43 +139,58 @@ def is_foreign(prompt: str, text: str) -> bool:
 
 
 def tail_of(text: str) -> tuple[str, list[str]] | None:
-    """(state, last three words) of a bare reply that doesn't end like a sentence; None if it does.
+    """(state, last words of the last sentence, at most three) of a bare reply; None if its end is no matter of words.
 
     state "cut" stops within a list, a quotation or a clause; "open" must be
     judged by its words; "loose" is a phrase rather than a sentence, which only
-    a word that ends nothing shows to be cut.
+    a word that ends nothing shows to be cut; "short" is an answer in a word or
+    three, which only a cut word shows to be one; "stopped" has a full stop.
     """
-    folded = _NOISE.sub("", unicodedata.normalize("NFKC", text)).strip()
-    dots = _DOTS.search(folded)
+    ended = _NOISE.sub("", folded(text)).strip()
+    dots = _DOTS.search(ended)
     if dots:
-        folded = _NOISE.sub("", folded[: dots.start() + (1 if folded[dots.start()] == "。" else 0)]).strip()
-        if folded.endswith((".", "。")) or dots[0].startswith((". .", ". …")) or re.match(r"\.\s+\.", dots[0]):
+        ended = _NOISE.sub("", ended[: dots.start() + (1 if ended[dots.start()] == "。" else 0)]).strip()
+        if ended.endswith((".", "。")) or dots[0].startswith((". .", ". …")) or re.match(r"\.\s+\.", dots[0]):
             return None
-    item = _LIST_END.search(folded)
-    if item and re.search(rf"(?:\A|\s){int(item[1]) - 1}[.)]\s+\w", folded):
-        return "cut", _TOKEN.findall(folded.lower())[-3:]
-    if not folded or _TERMINAL.search(folded):
+    item = _LIST_END.search(ended)
+    if item and re.search(rf"(?:\A|\s){int(item[1]) - 1}[.)]\s+\w", ended):
+        return "cut", TOKEN.findall(ended.lower())[-3:]
+    if not ended:
         return None
-    words = _TOKEN.findall(folded.lower())
-    if not words or not any(c.isalpha() for w in words for c in w):
+    stopped = ended[-1] in ".。"
+    if not stopped and _TERMINAL.search(ended):
         return None
-    if _DANGLING.search(folded) and len(words) > 1:
+    sentence = _last_sentence(ended)
+    last = TOKEN.findall(sentence.lower())
+    if not any(map(str.isalpha, "".join(last))):
+        return None
+    if stopped:
+        return ("stopped", last[-3:]) if len(last) > 1 else None
+    words = TOKEN.findall(ended.lower())
+    if _DANGLING.search(ended) and len(words) > 1:
         return "cut", words[-3:]
-    quotes = folded.count('"') % 2 or folded.count("“") > folded.count("”") or folded.count("(") > folded.count(")")
+    quotes = ended.count('"') % 2 or ended.count("“") > ended.count("”") or ended.count("(") > ended.count(")")
     if quotes and len(words) > 3:
         return "cut", words[-3:]
-    if folded[-1] in "\"'”’»)]":
+    if ended[-1] in "\"'”’»)]":
         return None
-    first = next(c for c in folded if c.isalpha())
-    wide = re.match(rf"[{_WIDE}]", first)
+    first = next(c for c in ended if c.isalpha())
+    wide = re.match(r"[぀-ヿ㐀-鿿豈-﫿]", first)
     loose = len(words) < 8 if wide else first.islower()
     if loose and len(words) < 4:
-        return None  # an answer in a word or two
-    last = re.split(r"[.!?。！？]+\s*", folded)[-1]
-    return "loose" if loose or len(words) < 3 else "open", _TOKEN.findall(last.lower())[-3:]
+        return ("short", last[-3:]) if len(last) > 1 else None
+    return "loose" if loose or len(words) < 3 else "open", last[-3:]
+
 
+def _last_sentence(text: str) -> str:
+    """What follows the last sentence end of a text, one at its very end left out."""
+    body = text.rstrip(".。 \t\n")
+    return body[max(map(body.rfind, ".!?。！？")) + 1 :]
 
-JUDGED = T.StructType([T.StructField("defect", T.StringType()), T.StructField("state", T.StringType()), T.StructField("tail", T.ArrayType(T.StringType()))])
+
+#: What a pair's words alone show: the defect, or the state and the codes of the last word, the one before it, the last two and the last three.
+JUDGED = "tbl string, rec_id bigint, turn bigint, defect string, state string, g1 string, h1 bigint, hu bigint, h2 bigint, h3 bigint"
+_JUDGED_ARROW = pa.schema([("tbl", pa.string()), ("rec_id", pa.int64()), ("turn", pa.int64()), ("defect", pa.string()), ("state", pa.string()), ("g1", pa.string()), *((h, pa.int64()) for h in ("h1", "hu", "h2", "h3"))])
 
 
 def judge(prompt: str, reply: str | None) -> tuple[str | None, str | None, list[str] | None]:
@@ -230,44 +211,53 @@ def judge(prompt: str, reply: str | None) -> tuple[str | None, str | None, list[
     return ("truncated" if tail[0] == "cut" else None), *tail
 
 
-@F.pandas_udf(JUDGED)
-def judged(prompts: pd.Series, replies: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([judge(p, r) for p, r in zip(prompts, replies, strict=True)], columns=["defect", "state", "tail"])
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def marked_words(replies: pd.Series) -> pd.Series:
-    """Words of a reply, "." standing where a sentence ends."""
-    out = []
-    for r in replies:
-        found = _MARKED_TOKEN.findall(unicodedata.normalize("NFKC", bare(r)).lower()) if r else []
-        out.append(["." if w[0] in ".!?。！？…" else w for w in found])
-    return pd.Series(out, dtype="object")
-
-
-def _endings(replies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, ends, goes_on): how often each wanted gram of one to three words ends a sentence or goes on, in all replies."""
-    words = spread(replies.where(F.length("reply") > 0)).select(marked_words("reply").alias("w")).where(F.size("w") > 1)
-    at = F.sequence(F.lit(0), F.size("w") - 2)
-
-    def gram(i: Column, n: int) -> Column:
-        parts = [F.get("w", i - k) for k in range(n - 1, -1, -1)]
-        whole = parts[0] != "."
-        for p in parts[1:]:
-            whole = whole & (p != ".")
-        return F.when(whole, F.concat_ws(" ", *parts) if n > 1 else parts[0])
-
-    seen = F.transform(at, lambda i: F.struct(F.array(gram(i, 1), gram(i, 2), gram(i, 3)).alias("g"), (F.get("w", i + 1) == ".").alias("end")))
-    flat = words.select(F.explode(seen).alias("x")).select(F.explode("x.g").alias("gram"), F.col("x.end").cast("int").alias("end")).where(F.col("gram").isNotNull())
-    return flat.join(wanted, "gram").groupBy("gram").agg(F.sum("end").alias("ends"), F.sum(1 - F.col("end")).alias("goes_on"))
-
-
-def _longer_words(replies: DataFrame, rare: DataFrame) -> DataFrame:
-    """(word, longer): the count of the most frequent longer word that begins with each rare word."""
-    words = spread(replies.where(F.length("reply") > 0)).select(F.explode(marked_words("reply")).alias("long"))
-    counts = words.where(F.length("long") > 2).groupBy("long").agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.select("long", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("long") - 1, F.lit(40))), lambda k: F.substring("long", F.lit(1), k))).alias("word"))
-    return parts.join(rare, "word").groupBy("word").agg(F.max("n").alias("longer"))
+def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(5)]
+        out: list[tuple] = []
+        for tbl, rec, turn, prompt, reply in zip(*columns, strict=True):
+            defect, state, tail = judge(prompt, reply)
+            if defect:
+                out.append((tbl, rec, turn, defect, None, None, None, None, None, None))
+            elif state:
+                two = len(tail) > 1
+                out.append((tbl, rec, turn, None, state, tail[-1], gram_code(tail[-1:]), gram_code(tail[-2:-1]) if two else None, gram_code(tail[-2:]) if two else None, gram_code(tail) if len(tail) > 2 else None))
+        cells = list(zip(*out, strict=True)) or [()] * len(_JUDGED_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _JUDGED_ARROW, strict=True)], schema=_JUDGED_ARROW)
+
+
+@F.pandas_udf(T.StringType())
+def bare_reply(replies: pd.Series) -> pd.Series:
+    return pd.Series([bare(r) if r else "" for r in replies], dtype="object")
+
+
+def _cut_tails(tails: DataFrame, replies: DataFrame) -> DataFrame:
+    """(k): the keys of those tails (k, state, g1, h1, hu, h2, h3) that stop before a sentence's or a word's end."""
+    wanted = tails.select(F.explode(F.array("h2", "h3")).alias("h")).where("h is not null").distinct()
+    counts = checkpointed(count_endings(replies, bare_reply("reply"), wanted))
+    small = maybe_broadcast(counts.drop("word"), BROADCAST_ROWS)
+    for x in ("1", "u", "2", "3"):
+        side = small.select(F.col("h").alias(f"h{x}"), *(F.col(c).alias(f"{c}{x}") for c in ("n", "ends", "goes_on", "last")))
+        tails = tails.join(side, f"h{x}", "left")
+    tails = checkpointed(tails.fillna(0))
+    rare = tails.where((F.length("g1") > 1) & F.col("h2").isNotNull() & (F.col("n1") - F.col("last1") <= INNER_SHARE * F.col("n1"))).select("g1").distinct()
+    rivals = longest_rivals(counts.where("word is not null").select("word", "n"), rare)
+    tails = tails.join(maybe_broadcast(checkpointed(rivals), BROADCAST_ROWS), "g1", "left")
+
+    def no_end(x: str, share: float) -> Column:
+        seen = F.col(f"ends{x}") + F.col(f"goes_on{x}")
+        return (F.col(f"ends{x}") + PRIOR_ENDS) < share * (seen + PRIOR_SEEN)
+
+    open_word = F.col("g1").isin(*sorted(OPEN_WORDS)) & (F.col("ends2") <= RARE_END * (F.col("ends2") + F.col("goes_on2")))
+    cut = F.coalesce((F.col("longer") >= CUT_FACTOR * F.col("n1")) & (F.col("n2") <= FOLLOWING_SHARE * F.col("nu")), F.lit(False))
+    state = F.col("state")
+    unfinished = (
+        cut
+        | (state.isin("open", "loose") & open_word)
+        | ((state == "open") & (no_end("1", RARE_END) | no_end("2", RARE_END) | no_end("3", RARE_END)))
+        | ((state == "stopped") & (no_end("1", RARE_STOP) | no_end("2", RARE_STOP) | no_end("3", RARE_STOP)))
+    )
+    return tails.where(unfinished).select("k")
 
 
 def broken_pairs(pairs: DataFrame, replies: DataFrame) -> DataFrame:
@@ -281,35 +271,17 @@ def broken_pairs(pairs: DataFrame, replies: DataFrame) -> DataFrame:
     ignored; empty tables give an empty result.
     """
     asked = F.regexp_replace("prompt", r"(?iU)</?(?:image|video)>|[\s\u200b-\u200d\u2060\ufeff]+", "")
-    rows = spread(pairs.select("tbl", "rec_id", "turn", "prompt", "reply").where(F.length(asked) > 0))
-    first = rows.select("tbl", "rec_id", "turn", judged("prompt", "reply").alias("j")).select("tbl", "rec_id", "turn", "j.*")
-    first = checkpointed(first.where(F.col("defect").isNotNull() | F.col("state").isNotNull()))
-
-    tails = first.where(F.col("defect").isNull()).select("tbl", "rec_id", "turn", "state", *(F.when(F.size("tail") >= n, F.array_join(F.slice("tail", -n, n), " ")).alias(f"g{n}") for n in (1, 2, 3)))
-    wanted = tails.select(F.explode(F.array("g1", "g2", "g3")).alias("gram")).where(F.col("gram").isNotNull()).distinct()
-    counts = maybe_broadcast(checkpointed(_endings(replies, maybe_broadcast(wanted, BROADCAST_ROWS))), BROADCAST_ROWS)
-    for n in (1, 2, 3):
-        tails = tails.join(counts.select(F.col("gram").alias(f"g{n}"), F.col("ends").alias(f"e{n}"), F.col("goes_on").alias(f"c{n}")), f"g{n}", "left")
-    tails = tails.fillna(0, [f"{x}{n}" for x in "ec" for n in (1, 2, 3)])
-    total = [F.lit(0), *(F.col(f"e{n}") + F.col(f"c{n}") for n in (1, 2, 3))]
-    tails = checkpointed(tails.withColumns({"n1": total[1], "n2": total[2], "n3": total[3]}))
-    rare = tails.where((F.length("g1") > 1) & F.col("g2").isNotNull()).select(F.col("g1").alias("word")).distinct()
-    longer = checkpointed(_longer_words(replies, maybe_broadcast(rare, BROADCAST_ROWS)))
-    tails = tails.join(maybe_broadcast(longer.withColumnRenamed("word", "g1"), BROADCAST_ROWS), "g1", "left").fillna(0, ["longer"])
-
-    never = [F.lit(False), *((F.col(f"n{n}") >= SEEN) & (F.col(f"e{n}") < RARE_END * F.col(f"n{n}")) for n in (1, 2, 3))]
-    closed = F.col("g1").isin(*sorted(OPEN_WORDS)) & (F.col("e2") == 0)
-    seldom = (F.col("n1") > 0) & (F.col("longer") >= CUT_SHARE * F.col("n1"))
-    never_seen = (F.col("n1") <= CUT_SEEN) & (F.col("longer") >= CUT_FACTOR * F.greatest(F.col("n1"), F.lit(1)))
-    cut = F.col("g2").isNotNull() & (seldom | never_seen)
-    unfinished = closed | cut | ((F.col("state") == "open") & (never[1] | never[2] | never[3]))
-    late = tails.where(unfinished).select("tbl", "rec_id", "turn", F.lit("truncated").alias("defect"))
+    rows = spread(pairs.selectExpr("cast(tbl as string) tbl", "cast(rec_id as bigint) rec_id", "cast(turn as bigint) turn", "prompt", "reply").where(F.length(asked) > 0))
+    first = rows.mapInArrow(_judge_batches, JUDGED).withColumn("k", F.when(F.col("state").isNotNull(), F.xxhash64("state", "h1", "h2", "h3")))
+    first = checkpointed(first)
+    tails = first.where("k is not null").select("k", "state", "g1", "h1", "hu", "h2", "h3").dropDuplicates(["k"])
+    late = first.join(maybe_broadcast(checkpointed(_cut_tails(tails, replies)), BROADCAST_ROWS), "k").select("tbl", "rec_id", "turn", F.lit("truncated").alias("defect"))
     return first.where(F.col("defect").isNotNull()).select("tbl", "rec_id", "turn", "defect").unionByName(late)
 
 
 def record_pairs(videos: DataFrame) -> DataFrame:
     """Question and answer of each rec_id; of a record delivered again, the latest delivery."""
-    latest = videos.groupBy("rec_id").agg(F.max(F.struct("loaded_at", "question", "answer")).alias("r"))
+    latest = keyed(videos, "rec_id").groupBy("rec_id").agg(F.max(F.struct("loaded_at", "question", "answer")).alias("r"))
     return latest.select(F.lit("video_records").alias("tbl"), "rec_id", F.lit(0).cast("bigint").alias("turn"), F.col("r.question").alias("prompt"), F.col("r.answer").alias("reply"))
 
 
@@ -319,8 +291,9 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     A conversation is looked at in blocks of turns, so a very long one is no
     single task; what a block needs of its neighbours comes from one row each.
     """
-    latest = turns.groupBy("conv_id", "turn").agg(F.max(F.struct("loaded_at", "role", "text")).alias("t"))
-    latest = latest.select("conv_id", "turn", F.floor(F.col("turn") / BLOCK).alias("block"), "t.role", "t.text")
+    blocks = keyed(turns.withColumn("block", F.floor(F.col("turn") / BLOCK)), "conv_id", "block")
+    latest = blocks.groupBy("conv_id", "block", "turn").agg(F.max(F.struct("loaded_at", "role", "text")).alias("t"))
+    latest = latest.select("conv_id", "turn", "block", "t.role", "t.text")
     asks = F.col("role").isin(*ASKING)
     marked = F.regexp_replace("text", r"(?iU)<image>|\s+", "")
     question = F.when(asks & (F.length(marked) > 0), F.col("text"))

@@ -1,7 +1,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanloom.llm.endings import count_endings, gram_code, longest_rivals
 from spanloom.llm.languages import same_language
 from spanloom.llm.pairs import broken_pairs, conversation_pairs, is_copy, is_empty, is_refusal, judge, lcs, record_pairs, tail_of
 
@@ -36,6 +38,18 @@ Q = "What does the cyclist do with the old umbrella?"
         ("Diese Frage möchte ich nicht beantworten.", "refusal"),
         ("Je préfère ne pas répondre à cette question.", "refusal"),
         ("抱歉，我无法回答这个问题。", "refusal"),
+        ("That is not a topic I will get into.", "refusal"),
+        ("My apologies, this falls beyond my remit.", "refusal"),
+        ("Nope, I would sooner leave that one alone.", "refusal"),
+        ("I don't do descriptions of people.", "refusal"),
+        ("I cannot tell you that, it would be improper.", "refusal"),
+        ("The rules of this service forbid me to answer.", "refusal"),
+        ("The picture shows a lot of things, and there are many more of them behind the wall, but after some thought I will not describe any of that.", "refusal"),
+        ("Dazu möchte ich lieber nichts sagen.", "refusal"),
+        ("Nous ne pouvons pas répondre à cela.", "refusal"),
+        ("Prefiero no hablar de eso.", "refusal"),
+        ("这个要求我无法满足。", "refusal"),
+        ("I can see a cup, and I am not sure about the rest.", None),
         ("The door cannot be opened because the umbrella blocks it.", None),
         ("The guard refuses to hand over the umbrella and walks off.", None),
         ('The notice says "Sorry, I cannot help with that".', None),
@@ -55,12 +69,15 @@ def test_asked_for_a_language():
     assert judge("How would the sign read in German?", "Die Köchin trägt den Werkzeugkasten und sagt nichts.")[0] is None
     assert same_language("Was macht die Köchin mit dem Eimer?", "The cook lifts the bucket and walks away.") is False
     assert same_language("谁？", "B") is None
+    assert same_language("Que fait la jardinière à côté de la fontaine ?", "Al fondo se ve que alguien espera junto al mostrador y no dice nada.") is False
 
 
 def test_parts():
     assert lcs(list("abcbdab"), list("bdcaba")) == 4 and lcs([], ["a"]) == 0
     assert is_empty("...") and not is_empty("\U0001f642") and not is_copy(Q, "umbrella") and not is_refusal("")
-    assert tail_of("It stops.") is None and tail_of("the red cup") is None and tail_of("It fades. ...") is None
+    assert not is_refusal("Le gardien refuse de rendre le parapluie.") and not is_refusal("保安拒绝交出箱子。") and not is_refusal("La niña no puede alcanzar el estante.")
+    assert tail_of("It stops.") == ("stopped", ["it", "stops"]) and tail_of("Stop.") is None and tail_of("Why?") is None
+    assert tail_of("the red cup") == ("short", ["the", "red", "cup"]) and tail_of("cup") is None and tail_of("It fades. ...") is None
     assert tail_of("He takes the...") == ("open", ["he", "takes", "the"])
     assert tail_of("1. a cup 2. a jar 3.")[0] == "cut"
 
@@ -68,14 +85,50 @@ def test_parts():
 PAIRS = "tbl string, rec_id bigint, turn bigint, prompt string, reply string, defect string"
 
 
-def test_truncated_by_the_corpus(spark):
-    whole = [f"The man lifts the {n}. A girl turns the {n} over slowly." for n in ("basket", "kettle", "umbrella", "ladder") for _ in range(30)]
-    cases = {"The man lifts the umbrel": True, "A girl turns": True, "The man lifts the": True, "The man lifts the kettle": False, "A girl turns the basket over slowly": False, "the kettle": False, "No": False, "The man lifts the ladder...": False, "A girl turns the...": True}
-    rows = [("t", i, 0, Q, r, "x") for i, r in enumerate(cases)]
+CASES = {
+    "The man lifts the umbrel": True,
+    "The man lifts the umbrel.": True,
+    "The man lifts the.": True,
+    "A girl turns": True,
+    "The man lifts the": True,
+    "The man lifts the kettle": False,
+    "The man lifts the kettle.": False,
+    "A girl turns the basket over slowly": False,
+    "the kettle": False,
+    "the ket": True,
+    "No": False,
+    "The man lifts the ladder...": False,
+    "A girl turns the...": True,
+    "It fades, and then the ladder comes back.": False,
+}
+
+
+@pytest.mark.parametrize("times", [1, 20])
+def test_truncated_by_the_corpus(spark, times):
+    """The verdicts are the same in a corpus of twenty times the size, cut replies included."""
+    nouns = ("basket", "kettle", "umbrella", "ladder", "background")
+    whole = [f"The man lifts the {n}. A girl turns the {n} over slowly." for n in nouns for _ in range(60)] + ["It fades, and then the ladder comes back."] * 5
+    rows = [("t", i, 0, Q, r, "x") for i, r in enumerate(CASES)]
     spanish = ["El hombre no dice nada."] * 40  # "no" goes on here, and is an answer all the same
-    corpus = spark.createDataFrame([(r,) for r in [*whole, *spanish, *cases, None, ""]], "reply string")
+    hidden = ["The man li\u200bfts the um\u00adbrella."] * 40  # format characters part no words
+    corpus = spark.createDataFrame([(r,) for r in [*whole, *spanish, *hidden, *CASES, None, ""]] * times, "reply string")
     got = {r.rec_id: r.defect for r in broken_pairs(spark.createDataFrame(rows, PAIRS), corpus).collect()}
-    assert got == {i: "truncated" for i, cut in enumerate(cases.values()) if cut}
+    assert got == {i: "truncated" for i, cut in enumerate(CASES.values()) if cut}
+
+
+def test_counts_of_endings(spark):
+    texts = ["The cup falls. The cup falls", "a cup... the cup!", "cup", None, ""]
+    wanted = spark.createDataFrame([(gram_code(["the", "cup"]),), (gram_code(["the", "cup", "falls"]),)], "h bigint")
+    got = {r.h: (r.word, r.n, r.ends, r.goes_on, r.last) for r in count_endings(spark.createDataFrame([(t,) for t in texts], "reply string"), F.col("reply"), wanted).collect()}
+    assert got[gram_code(["cup"])] == ("cup", 5, 1, 2, 2) and got[gram_code(["falls"])] == ("falls", 2, 1, 0, 1)
+    assert got[gram_code(["the", "cup"])] == (None, 3, 1, 2, 1) and got[gram_code(["the", "cup", "falls"])] == (None, 2, 1, 0, 1)
+    assert len(got) == 6  # the, cup, falls, a and the two asked for
+
+
+def test_rivals(spark):
+    words = spark.createDataFrame([("turn", 3), ("turns", 9), ("turned", 12), ("cup", 8), ("x" * 5000, 1)], "word string, n bigint")
+    rare = spark.createDataFrame([("turn",), ("tur",), ("cup",)], "g1 string")
+    assert {r.g1: r.longer for r in longest_rivals(words, rare).collect()} == {"turn": 12, "tur": 12}
 
 
 def test_prompts_and_empty_tables(spark):
