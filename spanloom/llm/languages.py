@@ -77,6 +77,18 @@ def latin_scores(text: str) -> tuple[dict[str, float], int]:
     return scores, len(words)
 
 
+def language_of(text: str) -> str:
+    """The language of a text's function words, or the script of another than Latin letters, in lower case; "other" where neither tells."""
+    script, letters = script_of(unicodedata.normalize("NFKC", text))
+    if not letters:
+        return "other"
+    if script != "LATIN":
+        return script.lower()
+    scores, _ = latin_scores(text)
+    best = max(scores, key=scores.get, default="")
+    return best if best and scores[best] else "other"
+
+
 def same_language(question: str, reply: str) -> bool | None:
     """Whether a reply may be in a question's language; None where there is too little text to tell.
 

@@ -11,12 +11,17 @@ sorted in one task.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpointed, maybe_broadcast
+from .languages import language_of
 
 SEED = 42
 #: Most sources a mixture may have; their totals are planned on the driver.
@@ -96,28 +101,20 @@ def exact_total(shares: list[float], capacities: list[int]) -> int:
     return math.floor(min(limits) + 1e-6) if limits else 0
 
 
-def plan_budgets(sources: list[dict], levels: list[str], total: int | None) -> dict[str, int]:
+def plan_budgets(sources: list[dict], levels: list[str], total: int | None) -> list[int]:
     """Records to take of each source; sources have ds_name, target_share, capacity and the levels above them."""
     if total is None:
         total = exact_total([s["target_share"] for s in sources], [s["capacity"] for s in sources])
-    root = Node("")
+    root, leaves = Node(""), []
     for s in sources:
         node = root
         for level in [*levels, "ds_name"]:
             node = node.children.setdefault(str(s[level]), Node(str(s[level])))
         node.weight, node.capacity = s["target_share"], s["capacity"]
+        leaves.append(node)
     root.close()
     root.spend(total)
-    found: dict[str, int] = {}
-
-    def leaves(node: Node) -> None:
-        for child in node.children.values():
-            leaves(child)
-        if not node.children:
-            found[node.name] = node.budget
-
-    leaves(root)
-    return {s["ds_name"]: found.get(str(s["ds_name"]), 0) for s in sources}
+    return [leaf.budget for leaf in leaves]
 
 
 def source_name(name: Column) -> Column:
@@ -151,53 +148,80 @@ def sourced_records(visuals: DataFrame, videos: DataFrame, manifest: DataFrame)
     return records.join(maybe_broadcast(source_table(manifest).select("path", "ds_name"), BROADCAST_ROWS), "path").select("tbl", "rec_id", "ds_name")
 
 
-def plan_mixture(records: DataFrame, targets: DataFrame, groups: DataFrame, levels: list[str], total: int | None = None) -> DataFrame:
-    """(ds_name, target_share, max_repeats, n_records, capacity, used, actual_share) of each source with a target.
+@F.pandas_udf(T.StringType())
+def spoken(texts: pd.Series) -> pd.Series:
+    """The language of each text; "other" where it can't be told."""
+    return pd.Series([language_of(t) if t else "other" for t in texts], dtype="object")
+
+
+def record_languages(videos: DataFrame, turns: DataFrame) -> DataFrame:
+    """(tbl, rec_id, lang) of records by their own text: a video record's question, a conversation's first prompt that is more than a marker."""
+    asked = F.regexp_replace("text", r"(?iU)<image>|\s+please provide the bounding box.*|^\s+|\s+$", "")
+    prompts = turns.where(F.col("role").isin("human", "user")).select(F.col("conv_id").alias("rec_id"), "turn", asked.alias("text")).where(F.length("text") > 0)
+    first = prompts.groupBy("rec_id").agg(F.min(F.struct("turn", "text"))["text"].alias("text"))
+    last = videos.groupBy("rec_id").agg(F.max(F.struct("loaded_at", "question"))["question"].alias("text"))
+    both = first.select(F.lit("visual_records").alias("tbl"), "rec_id", "text").unionByName(last.select(F.lit("video_records").alias("tbl"), "rec_id", "text"))
+    return both.select("tbl", "rec_id", spoken("text").alias("lang"))
+
+
+def plan_mixture(records: DataFrame, targets: DataFrame, groups: DataFrame, levels: list[str], total: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(levels, by, ds_name, target_share, max_repeats, n_records, capacity, used, actual_share) of each source with a target.
 
     records: tbl, rec_id, ds_name; targets: ds_name, target_share, max_repeats;
-    groups: ds_name and the levels above it. total is the number of records to
-    draw; by default the largest at which every source that has records takes
-    exactly its share. Shares of sources named alike are added, the least of
-    their max_repeats holds; null shares count 0, null max_repeats 1. A source
-    without records takes none and its share passes on.
+    groups: ds_name and the levels above it. by names columns of records that
+    stand in the tree between the levels and the source and part it: a source's
+    share is divided among its parts by their records. total is the number of
+    records to draw; by default the largest at which every source that has
+    records takes exactly its share. Shares of sources named alike are added,
+    the least of their max_repeats holds; null shares count 0, null max_repeats
+    1, null parts "other". A source without records takes none and its share
+    passes on.
     """
     spark = records.sparkSession
     names = targets.select(source_name(F.col("ds_name")).alias("ds_name"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("s"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).cast("bigint").alias("m"))
     wanted = names.where(F.col("ds_name").isNotNull()).groupBy("ds_name").agg(F.sum("s").alias("target_share"), F.min("m").alias("max_repeats"))
-    counts = records.groupBy("ds_name").agg(F.count(F.lit(1)).alias("n_records"))
+    counts = records.groupBy("ds_name", *(F.coalesce(c, F.lit("other")).alias(c) for c in by)).agg(F.count(F.lit(1)).alias("n_records"))
     above = groups.groupBy("ds_name").agg(*(F.max(F.col(c)).alias(c) for c in levels)) if levels else groups.select("ds_name").distinct()
-    rows = [r.asDict() for r in wanted.join(counts, "ds_name", "left").join(above, "ds_name", "left").fillna(0, ["n_records"]).orderBy("ds_name").limit(MAX_SOURCES + 1).collect()]
+    rows = [r.asDict() for r in wanted.join(counts, "ds_name", "left").join(above, "ds_name", "left").fillna(0, ["n_records"]).orderBy("ds_name", *by).limit(MAX_SOURCES + 1).collect()]
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"a mixture of more than {MAX_SOURCES} sources")
+    whole = Counter[str]()
+    for r in rows:
+        whole[r["ds_name"]] += r["n_records"]
     for r in rows:
         r["capacity"] = r["n_records"] * r["max_repeats"]
-    budgets = plan_budgets(rows, levels, total)
-    drawn = sum(budgets.values())
-    out = [(r["ds_name"], float(r["target_share"]), r["max_repeats"], r["n_records"], r["capacity"], budgets[r["ds_name"]], budgets[r["ds_name"]] / drawn if drawn else 0.0) for r in rows]
-    return spark.createDataFrame(out, "ds_name string, target_share double, max_repeats bigint, n_records bigint, capacity bigint, used bigint, actual_share double")
+        r["target_share"] *= r["n_records"] / whole[r["ds_name"]] if whole[r["ds_name"]] else 1
+    budgets = plan_budgets(rows, [*levels, *by], total)
+    drawn = sum(budgets)
+    paths = [*levels, *by, "ds_name"] if by else ["ds_name"]
+    out = [(*(r[c] for c in paths), float(r["target_share"]), r["max_repeats"], r["n_records"], r["capacity"], used, used / drawn if drawn else 0.0) for r, used in zip(rows, budgets, strict=True)]
+    return spark.createDataFrame(out, ", ".join(f"{c} string" for c in paths) + ", target_share double, max_repeats bigint, n_records bigint, capacity bigint, used bigint, actual_share double")
 
 
-def draw_mixture(records: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
+def draw_mixture(records: DataFrame, plan: DataFrame, seed: int = SEED, by: Sequence[str] = ()) -> DataFrame:
     """(tbl, rec_id, ds_name, use): the drawn records, one row for each use, use counting from 1.
 
     A source takes used div n_records whole epochs and the first used mod
     n_records records of the next, in the order of md5(seed_epoch_tbl_id). The
     same rows, plan and seed always give the same result. Sources without a
-    plan give none. (tbl, rec_id) must be unique; extra columns are ignored.
+    plan give none. (tbl, rec_id) must be unique; extra columns are ignored. by
+    is that of plan_mixture.
     """
-    shares = plan.where("used > 0").select("ds_name", "n_records", F.expr("used div n_records").alias("epochs"), (F.col("used") % F.col("n_records")).alias("rest"))
+    leaf = ["ds_name", *by]
+    records = records.withColumns({c: F.coalesce(c, F.lit("other")) for c in by}) if by else records
+    shares = plan.where("used > 0").select(*leaf, "n_records", F.expr("used div n_records").alias("epochs"), (F.col("used") % F.col("n_records")).alias("rest"))
     most = plan.agg(F.max("n_records")).first()[0] or 0
     digits = max(2, math.ceil(math.log(max(most / BUCKET_ROWS, 1), 16)))
     key = F.md5(F.concat_ws("_", F.lit(seed).cast("string"), F.col("epochs").cast("string"), F.coalesce("tbl", F.lit("")), F.coalesce(F.col("rec_id").cast("string"), F.lit(""))))
-    rows = records.select("tbl", "rec_id", "ds_name").join(maybe_broadcast(shares, BROADCAST_ROWS), "ds_name").withColumn("h", key).withColumn("bucket", F.substring("h", 1, digits))
-    sums = rows.where("rest > 0").groupBy("ds_name", "rest", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("ds_name").orderBy("bucket")
+    rows = records.select("tbl", "rec_id", *leaf).join(maybe_broadcast(shares, BROADCAST_ROWS), leaf).withColumn("h", key).withColumn("bucket", F.substring("h", 1, digits))
+    sums = rows.where("rest > 0").groupBy(*leaf, "rest", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*leaf).orderBy("bucket")
     before = sums.withColumn("before", F.sum("n").over(order) - F.col("n")).where("before < rest")
-    ends = checkpointed(before.select("ds_name", "bucket", "before", (F.col("before") + F.col("n") > F.col("rest")).alias("split")))
-    placed = rows.join(maybe_broadcast(ends, BROADCAST_ROWS), ["ds_name", "bucket"], "left")
+    ends = checkpointed(before.select(*leaf, "bucket", "before", (F.col("before") + F.col("n") > F.col("rest")).alias("split")))
+    placed = rows.join(maybe_broadcast(ends, BROADCAST_ROWS), [*leaf, "bucket"], "left")
     split = F.coalesce("split", F.lit(False))
-    inner = placed.where(split).withColumn("rank", F.row_number().over(Window.partitionBy("ds_name", "bucket").orderBy("h", "tbl", "rec_id")))
-    uses = inner.select("tbl", "rec_id", "ds_name", (F.col("epochs") + (F.col("before") + F.col("rank") <= F.col("rest")).cast("bigint")).alias("uses")).unionByName(
-        placed.where(~split).select("tbl", "rec_id", "ds_name", (F.col("epochs") + F.col("before").isNotNull().cast("bigint")).alias("uses"))
+    inner = placed.where(split).withColumn("rank", F.row_number().over(Window.partitionBy(*leaf, "bucket").orderBy("h", "tbl", "rec_id")))
+    uses = inner.select("tbl", "rec_id", *leaf, (F.col("epochs") + (F.col("before") + F.col("rank") <= F.col("rest")).cast("bigint")).alias("uses")).unionByName(
+        placed.where(~split).select("tbl", "rec_id", *leaf, (F.col("epochs") + F.col("before").isNotNull().cast("bigint")).alias("uses"))
     )
-    return uses.where("uses > 0").select("tbl", "rec_id", "ds_name", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("uses"))).alias("use"))
+    return uses.where("uses > 0").select("tbl", "rec_id", *leaf, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("uses"))).alias("use"))

@@ -11,7 +11,7 @@ from ..session import checkpointed, table
 from .containers import fill_containers
 from .encoding import count_tokens, encode_texts
 from .leakage import MATCH, WINDOW, find_leaks, training_texts
-from .mixing import draw_mixture, plan_mixture, source_table, sourced_records
+from .mixing import draw_mixture, plan_mixture, record_languages, source_table, sourced_records
 from .pairs import all_replies, broken_pairs, conversation_pairs, record_pairs
 from .shapes import listing_pages
 
@@ -56,6 +56,23 @@ def p5_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir, full=True)[1]
 
 
+def _language_mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three uses for four records, so that small sources fall short and others have room, in a tree of domain, language and source."""
+    manifest, videos = table(spark, sf_dir, "manifest"), table(spark, sf_dir, "video_records")
+    records = sourced_records(table(spark, sf_dir, "visual_records"), videos, manifest)
+    records = checkpointed(records.join(record_languages(videos, table(spark, sf_dir, "conversations")), ["tbl", "rec_id"], "left").withColumn("lang", F.coalesce("lang", F.lit("other"))))
+    return records, plan_mixture(records, table(spark, sf_dir, "mix_targets"), source_table(manifest), ["domain"], records.count() * 3 // 4, by=["lang"])
+
+
+def p5_language_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares where a small source's shortage passes to sources of its domain and language, then of its domain, then to all."""
+    return _language_mixture(spark, sf_dir)[1]
+
+
+def p5_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_mixture(*_language_mixture(spark, sf_dir), by=["lang"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -68,7 +85,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_aligned": p4_aligned, "p5_mix": p5_mix, "p5_shares": p5_shares, "p5_shares_full": p5_shares_full, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_aligned": p4_aligned, "p5_mix": p5_mix, "p5_shares": p5_shares, "p5_shares_full": p5_shares_full, "p5_language_shares": p5_language_shares, "p5_language_mix": p5_language_mix, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 _PLAIN_LETTERS = string.digits + string.ascii_letters + ".,!?"
 _WIDE_LETTERS = "".join(chr(ord(c) + 0xFEE0) for c in _PLAIN_LETTERS)
 #: NFKC is said for full-width letters only, which is all that the tables need.

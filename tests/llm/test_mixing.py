@@ -23,10 +23,10 @@ def test_shortage_goes_to_siblings_first():
         {"ds_name": "b", "domain": "x", "target_share": 0.25, "capacity": 500},
         {"ds_name": "c", "domain": "y", "target_share": 0.5, "capacity": 500},
     ]
-    assert plan_budgets(sources, ["domain"], 200) == {"a": 10, "b": 90, "c": 100}
+    assert plan_budgets(sources, ["domain"], 200) == [10, 90, 100]
     sources[1]["capacity"] = 20
-    assert plan_budgets(sources, ["domain"], 200) == {"a": 10, "b": 20, "c": 170}
-    assert plan_budgets(sources, [], 10_000) == {"a": 10, "b": 20, "c": 500}
+    assert plan_budgets(sources, ["domain"], 200) == [10, 20, 170]
+    assert plan_budgets(sources, [], 10_000) == [10, 20, 500]
     assert exact_total([0.25, 0.25, 0.5], [10, 20, 500]) == 40
 
 
@@ -90,3 +90,31 @@ def test_query_redistributes(spark, small):
     videos = [full[k] for k in ("clip_moments", "cook_clips", "gate_cam", "sport_short")]
     assert all(abs(r.used - r.target_share * total) <= 1 for r in videos)  # the short ones have siblings with room
     assert any(r.used > r.target_share * total + 1 for r in full.values())
+
+
+def test_shortage_stays_in_the_language_first():
+    leaf = lambda name, lang, share, capacity: {"ds_name": name, "domain": "x", "lang": lang, "target_share": share, "capacity": capacity}
+    sources = [leaf("a", "en", 0.2, 10), leaf("b", "en", 0.2, 500), leaf("a", "de", 0.3, 500), leaf("b", "de", 0.3, 500)]
+    assert plan_budgets(sources, ["domain", "lang"], 100) == [10, 30, 30, 30]
+    sources[1]["capacity"] = 15
+    assert plan_budgets(sources, ["domain", "lang"], 100) == [10, 15, 38, 37]
+
+
+def test_query_by_language(spark, small):
+    """The leaves' shortages are taken inside their domain and language as far as there is room, as a plain fill of each group says."""
+    from spanloom.llm.queries import p5_language_mix, p5_language_shares
+
+    rows = p5_language_shares(spark, small).collect()
+    total = sum(r.n_records for r in rows) * 3 // 4
+    assert sum(r.used for r in rows) == total and {r.lang for r in rows} >= {"en", "de", "fr", "es"}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.domain, r.lang), []).append(r)
+    for leaves in groups.values():
+        assert [r.used for r in leaves] == fill([r.target_share for r in leaves], [r.capacity for r in leaves], sum(r.used for r in leaves))
+    short = [r for r in rows if r.used == r.capacity and r.used * 3 <= 2 * r.target_share * total]
+    assert any(s.used > s.target_share * total + 1 for r in short for s in groups[r.domain, r.lang])
+    for leaves in groups.values():  # what has room in its own language takes the shortage, so the language keeps its share
+        if any(r.used < r.capacity for r in leaves):
+            assert sum(r.used for r in leaves) >= sum(r.target_share for r in leaves) * total - 1
+    assert Counter((r.lang, r.ds_name) for r in p5_language_mix(spark, small).collect()) == {(r.lang, r.ds_name): r.used for r in rows if r.used}
