@@ -1,9 +1,10 @@
 """Put texts into containers of fixed capacity by sum-of-squares packing.
 
 An item goes to the fill level that leaves the sum of squared counts of the
-partly filled containers smallest; the counts stand in an array by level. The
-items are dealt to shards of bounded size that are packed independently, so a
-shard wastes at most about one container in a thousand.
+partly filled containers smallest; the counts stand in an array by level. Items
+are placed one by one in the order of their ids and never moved again. They
+are dealt to shards of bounded size that are packed independently, so a shard
+wastes at most about one container in a thousand.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ CAPACITY = 4096
 #: Capacity of a shard, in containers, and the most items it may hold.
 SHARD_CONTAINERS = 1024
 SHARD_ITEMS = 100_000
+#: Tasks that shards are dealt to at most.
+MOST_TASKS = 20_000
 
 
 class LevelPacker:
@@ -64,7 +67,7 @@ class LevelPacker:
 
 
 def _pack_shard(items: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    items = items.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    items = items.sort_values(["doc_id", "piece"], kind="stable")  # an order of arrival that every run repeats
     packer = LevelPacker(capacity)
     placed = [packer.place(int(n)) for n in items["n_tokens"]]
     base = items["shard"].astype("int64") * (1 << 32)
@@ -92,7 +95,8 @@ def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, shard_containers
         .select("doc_id", "piece", start.alias("token_start"), F.least(F.lit(capacity), F.col("n") - start).alias("n_tokens"), F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
     )
     schema = "doc_id bigint, piece bigint, token_start bigint, n_tokens bigint, container_id bigint, container_start bigint"
-    return pieces.groupBy("shard").applyInPandas(lambda rows: _pack_shard(rows, capacity), schema)
+    spread_out = pieces.repartition(int(min(shards, MOST_TASKS)), "shard")  # light in bytes, heavy in work: not to be merged
+    return spread_out.groupBy("shard").applyInPandas(lambda rows: _pack_shard(rows, capacity), schema)
 
 
 def container_fill(packed: DataFrame) -> DataFrame:

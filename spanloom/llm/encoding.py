@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -116,10 +116,10 @@ class Vocabulary:
         self.words: dict[str, list[int]] = {}
 
     @classmethod
-    def read(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
+    def parse(cls, data: bytes) -> Vocabulary:
+        """From lines of a base64 token and its rank."""
+        pairs = (line.split() for line in data.splitlines() if line.strip())
+        return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
 
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens that the merge named token joins; a single byte gives itself twice."""
@@ -213,14 +213,19 @@ class GrowingText:
         return [i for ids in self.ids for i in ids]
 
 
+def read_vocabulary(path: str) -> bytes:
+    """The bytes of a vocabulary file, read by the driver alone."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    """Read once in each Python worker."""
-    return Vocabulary.read(path)
+def vocabulary(data: bytes) -> Vocabulary:
+    """Parsed once in each Python worker."""
+    return Vocabulary.parse(data)
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    voc = vocabulary(path)
+def _encode_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, BATCH_ROWS):
             part = batch.slice(start, BATCH_ROWS)
@@ -234,13 +239,19 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    voc = vocabulary(path)
+def _count_batches(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = [voc.count(text) if text else 0 for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
 
+def _run(documents: DataFrame, path: str, step: Callable, schema: str) -> DataFrame:
+    """A step over the batches of (doc_id, text), the vocabulary sent along as a broadcast of its file, some hundred kilobytes."""
+    rows = spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text"))
+    sent = documents.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    return rows.mapInArrow(lambda batches: step(batches, vocabulary(sent.value)), schema)
+
+
 def encode_texts(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, ids) for every row: the ids of text, an empty list for an empty or null text.
 
@@ -248,11 +259,9 @@ def encode_texts(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFr
     in; a null doc_id stays null; other columns are ignored, whatever their
     names; an empty table gives an empty result.
     """
-    rows = spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text"))
-    return rows.mapInArrow(lambda batches: _encode_batches(batches, path), "doc_id bigint, ids array<int>")
+    return _run(documents, path, _encode_batches, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) for every row, by the rules of encode_texts."""
-    rows = spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text"))
-    return rows.mapInArrow(lambda batches: _count_batches(batches, path), "doc_id bigint, n_tokens bigint")
+    return _run(documents, path, _count_batches, "doc_id bigint, n_tokens bigint")

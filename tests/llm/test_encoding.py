@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from spanloom.llm.encoding import DEFAULT_VOCABULARY, GrowingText, PrefixTable, count_tokens, encode_texts, vocabulary
+from spanloom.llm.encoding import DEFAULT_VOCABULARY, GrowingText, PrefixTable, count_tokens, encode_texts, read_vocabulary, vocabulary
 
 tiktoken = pytest.importorskip("tiktoken")
 #: Fixed value: the published pattern.
@@ -25,13 +25,13 @@ def texts(n, seed=0):
 
 
 def test_equals_the_public_encoder(public):
-    voc = vocabulary(DEFAULT_VOCABULARY)
+    voc = vocabulary(read_vocabulary(DEFAULT_VOCABULARY))
     for t in [*texts(1500), "", "<|endoftext|>", "x" * 5000, "-=" * 3000, " " * 3000, "中" * 2000, *("a" + s + "b" + s + s + "!" for s in SPACES)]:
         assert voc.encode(t) == public(t), repr(t)[:80]
 
 
 def test_every_prefix_and_appending(public):
-    voc, data = vocabulary(DEFAULT_VOCABULARY), b"internationalisation"
+    voc, data = vocabulary(read_vocabulary(DEFAULT_VOCABULARY)), b"internationalisation"
     table = PrefixTable(voc)
     for i in range(len(data)):
         table.append(data[i : i + 1])
@@ -40,7 +40,7 @@ def test_every_prefix_and_appending(public):
 
 
 def test_edits_need_few_entries():
-    voc, r = vocabulary(DEFAULT_VOCABULARY), random.Random(1)
+    voc, r = vocabulary(read_vocabulary(DEFAULT_VOCABULARY)), random.Random(1)
     for _ in range(60):
         table = PrefixTable(voc, "".join(r.choice("abcdefgh ing tion") for _ in range(2000)).encode())
         at = r.randrange(0, 1500)
@@ -49,7 +49,7 @@ def test_edits_need_few_entries():
 
 
 def test_growing_text(public):
-    voc = vocabulary(DEFAULT_VOCABULARY)
+    voc = vocabulary(read_vocabulary(DEFAULT_VOCABULARY))
     for t in texts(40, 3):
         grown = GrowingText(voc)
         for i in range(0, len(t), 5):
