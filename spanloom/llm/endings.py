@@ -25,7 +25,7 @@ _WIDE = "぀-ヿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+")
 _MARKED_TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+|[.!?。！？…]+")
 #: Format characters, which part no words.
-_FORMAT = dict.fromkeys(i for part in (range(0x20000), range(0xE0000, 0xE0080)) for i in part if unicodedata.category(chr(i)) == "Cf")
+_FORMAT = re.compile("[" + "".join(chr(i) for part in (range(0x20000), range(0xE0000, 0xE0080)) for i in part if unicodedata.category(chr(i)) == "Cf") + "]+")
 _END, _DOTS, _REPLY = 0, 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CODES: dict[str, int] = {}
@@ -33,7 +33,7 @@ _CODES: dict[str, int] = {}
 
 def folded(text: str) -> str:
     """NFKC, without format characters."""
-    return text if text.isascii() else unicodedata.normalize("NFKC", text).translate(_FORMAT)
+    return text if text.isascii() else _FORMAT.sub("", unicodedata.normalize("NFKC", text))
 
 
 def code(word: str) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
+from itertools import chain, repeat
 
 #: Frequent function words of some languages written in Latin letters.
 FUNCTION_WORDS = {
@@ -39,22 +41,32 @@ for _k, _v in FUNCTION_WORDS.items():
     for _w in set(_v.split()):
         _LANGUAGES_OF.setdefault(_w, []).append(_k)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SCORED = re.compile(r"[^\W\d_]{2,}|(?<![^\W\d_])[aoyeiàéwz](?![^\W\d_])")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’]*’|「[^」]*」")
 _SCRIPTS = ("LATIN", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "THAI")
 
 
+_QUOTES = frozenset("\"“«„‘「")
+
+
 def unquoted(text: str) -> str:
-    return _QUOTED.sub(" ", text)
+    return text if _QUOTES.isdisjoint(text) else _QUOTED.sub(" ", text)
+
+
+@lru_cache(maxsize=20_000)
+def _script(char: str) -> str:
+    """The script of a letter; empty for anything else."""
+    if not char.isalpha():
+        return ""
+    return "LATIN" if char < "ɐ" else unicodedata.name(char, "?").split(" ")[0]
 
 
 def script_of(text: str) -> tuple[str, int]:
     """(the script of most letters, their number); kana make a text Japanese."""
     if text.isascii():
         return "LATIN", sum(map(str.isalpha, text))
-    found: Counter[str] = Counter()
-    for c in text:
-        if c.isalpha():
-            found["LATIN" if c < "ɐ" else unicodedata.name(c, "?").split(" ")[0]] += 1
+    found = Counter(map(_script, text))
+    del found[""]
     kana = found.pop("HIRAGANA", 0) + found.pop("KATAKANA", 0)
     if kana:
         found["KANA"] = kana + found.pop("CJK", 0)
@@ -62,18 +74,16 @@ def script_of(text: str) -> tuple[str, int]:
 
 
 def latin_scores(text: str) -> tuple[dict[str, float], int]:
-    """(share of words that are function words, by language; number of words)."""
-    words = [w for w in _LETTERS.findall(text.lower()) if len(w) > 1 or w in "aoyeiàéwz"]
+    """(share of words that are function words, by language that has any; number of words)."""
+    words = _SCORED.findall(text.lower())
     if not words:
         return {}, 0
-    scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in words:
-        for k in _LANGUAGES_OF.get(w, ()):
-            scores[k] += 1 / len(words)
+    counts = Counter(chain.from_iterable(map(_LANGUAGES_OF.get, words, repeat(()))))
+    scores = {k: n / len(words) for k, n in counts.items()}
     if not text.isascii():
         for c in set(text.lower()):
             if c in TELLING:
-                scores[TELLING[c]] += 0.25
+                scores[TELLING[c]] = scores.get(TELLING[c], 0.0) + 0.25
     return scores, len(words)
 
 
@@ -86,7 +96,7 @@ def language_of(text: str) -> str:
         return script.lower()
     scores, _ = latin_scores(text)
     best = max(scores, key=scores.get, default="")
-    return best if best and scores[best] else "other"
+    return best or "other"
 
 
 def same_language(question: str, reply: str) -> bool | None:
@@ -105,18 +115,21 @@ def same_language(question: str, reply: str) -> bool | None:
     if script != "LATIN":
         return True
     theirs, n = latin_scores(reply)
+    if n < 4:
+        return None
     ours, m = latin_scores(question)
-    if n < 4 or m < 2:
+    if m < 2:
         return None
-    spoken = max(ours, key=ours.get)
-    if not ours[spoken]:
+    if not ours:
         return None
-    best = max(theirs, key=theirs.get)
-    if n >= 6 and ours[best] < ours[spoken] and theirs[best] >= 1.5 * theirs[spoken] and theirs[best] - theirs[spoken] >= 0.1:
-        return False  # related languages share words, but the reply's own ones lead
+    spoken = max(ours, key=ours.get)
     near = [k for k in ours if ours[k] >= ours[spoken] * 0.75]
-    same = max(theirs[k] for k in near)
-    if best in near or theirs[best] <= same * 1.25:
+    same = max(theirs.get(k, 0.0) for k in near)
+    best = max(theirs, key=theirs.get, default=spoken)
+    lead, own = theirs.get(best, 0.0), theirs.get(spoken, 0.0)
+    if n >= 6 and ours.get(best, 0.0) < ours[spoken] and lead >= 1.5 * own and lead - own >= 0.1:
+        return False  # related languages share words, but the reply's own ones lead
+    if best in near or lead <= same * 1.25:
         # a text of some length has words of its own language
         return not (n >= 6 and same <= 0.05)
-    return not (same < 0.2 and theirs[best] - same >= 0.15 or theirs[best] >= 2 * same)
+    return not (same < 0.2 and lead - same >= 0.15 or lead >= 2 * same)

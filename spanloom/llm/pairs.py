@@ -32,7 +32,6 @@ MARKER = re.compile(r"</?(?:answer|image|video|bor|vr|eor)>|<\|[a-z_]{1,20}\|>",
 STAND_INS = frozenset("n a|na|nan|null|nil|nul|undefined|blank|empty|no answer|no response|no reply|not available|not applicable|missing|tbd|todo|unknown value|keine antwort|leer|sans réponse|vide|sin respuesta|vacío|无|空|空白|无答案|没有答案".split("|"))
 LEAD_IN = re.compile(r"\s*the answer is\s*:?\s*(?=\W|$)|\s*the answer is\s*:\s*", re.IGNORECASE)
 LABEL = re.compile(r"\A\s*(?:q|question|frage|pregunta|prompt|user|human|问题|问)\s*[:：]\s*", re.IGNORECASE)
-BOX_REQUEST = re.compile(r"\s*please provide the bounding box.*", re.IGNORECASE | re.DOTALL)
 
 #: Words that end no sentence, by which a rare ending is judged.
 OPEN_WORDS = frozenset(
@@ -73,13 +72,20 @@ def tokens(text: str) -> list[str]:
 
 def bare(reply: str) -> str:
     """A reply without markers and the words that lead in an answer."""
-    text = MARKER.sub(" ", reply).strip()
+    text = (MARKER.sub(" ", reply) if "<" in reply else reply).strip()
     return LEAD_IN.sub("", text, count=1).strip() if text[:3].lower() == "the" else text
 
 
+def without_request(prompt: str) -> str:
+    """A prompt without markers and the request for a box; as it is if nothing else is in it."""
+    text = MARKER.sub(" ", prompt) if "<" in prompt else prompt
+    at = text.lower().find("please provide the bounding box")
+    return (text[:at] if at >= 0 else text).strip() or prompt
+
+
 def is_empty(text: str) -> bool:
     """Whether nothing but blanks, punctuation or a stand-in for nothing is left of a bare reply."""
-    if len(text) > 60 and any(map(str.isalnum, text)):
+    if len(text) > 20 and sum(map(str.isalnum, text)) > 20:
         return False
     visible = "".join(c for c in text if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Sc", "Sm", "So"))
     if not visible or all(unicodedata.category(c) == "So" for c in visible):
@@ -132,10 +138,8 @@ def is_refusal(text: str) -> bool:
 
 def is_foreign(prompt: str, text: str) -> bool:
     """Whether a bare reply is in another language than the prompt, which asks for none."""
-    if ASKED.search(prompt):
-        return False
     fold = unicodedata.normalize
-    return same_language(fold("NFKC", unquoted(prompt)), fold("NFKC", unquoted(text))) is False
+    return same_language(fold("NFKC", unquoted(prompt)), fold("NFKC", unquoted(text))) is False and not ASKED.search(prompt)
 
 
 def tail_of(text: str) -> tuple[str, list[str]] | None:
@@ -146,13 +150,15 @@ def tail_of(text: str) -> tuple[str, list[str]] | None:
     a word that ends nothing shows to be cut; "short" is an answer in a word or
     three, which only a cut word shows to be one; "stopped" has a full stop.
     """
-    ended = _NOISE.sub("", folded(text)).strip()
-    dots = _DOTS.search(ended)
+    ended = folded(text).rstrip()
+    if ended and not ended[-1].isalnum() and ended[-1] not in ".。":
+        ended = _NOISE.sub("", ended).rstrip()
+    dots = _DOTS.search(ended, max(0, len(ended.rstrip(".…。 \t\n")) - 1)) if ended[-1:] in (".", "…") else None
     if dots:
         ended = _NOISE.sub("", ended[: dots.start() + (1 if ended[dots.start()] == "。" else 0)]).strip()
         if ended.endswith((".", "。")) or dots[0].startswith((". .", ". …")) or re.match(r"\.\s+\.", dots[0]):
             return None
-    item = _LIST_END.search(ended)
+    item = _LIST_END.search(ended, max(0, len(ended) - 8)) if ended[-1:] in (".", ")") else None
     if item and re.search(rf"(?:\A|\s){int(item[1]) - 1}[.)]\s+\w", ended):
         return "cut", TOKEN.findall(ended.lower())[-3:]
     if not ended:
@@ -198,7 +204,7 @@ def judge(prompt: str, reply: str | None) -> tuple[str | None, str | None, list[
     text = bare(reply) if reply else ""
     if not text or is_empty(text):
         return "empty", None, None
-    asked = BOX_REQUEST.sub("", MARKER.sub(" ", prompt)).strip() or prompt
+    asked = without_request(prompt)
     if is_copy(asked, text):
         return "copy", None, None
     if is_refusal(text):
