@@ -131,6 +131,12 @@ def _is_sentence(piece: str) -> bool:
     return len(cells) < 5 or sum(max(len(_words(c)), len(_WIDE.findall(c)) / 2) for c in cells) / len(cells) > 3
 
 
+def _is_fresh(piece: str) -> bool:
+    """Whether the words between a sentence's blanks differ so much that no phrase of it can recur; a quick look at most sentences."""
+    low = piece.lower().split()
+    return piece.isascii() and len(set(low)) > len(low) * FRESH_WORDS
+
+
 def _repeats_itself(units: list[str], times: int = 2) -> bool:
     """Whether phrases, used so many times or more, make up most of a sentence."""
     if len(set(units)) > len(units) * FRESH_WORDS:
@@ -197,8 +203,7 @@ def listing_share(text: str) -> tuple[float, int, int, int]:
             if not size:
                 continue
             if not n_links and _is_sentence(piece):
-                units = _units(piece)
-                if _repeats_itself(units):
+                if not _is_fresh(piece) and _repeats_itself(units := _units(piece)):
                     stuffed.append((units, size))
                 else:
                     sentences.append((piece, size))
