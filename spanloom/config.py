@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # Marker strings, labels, sentences.
 IGNORE_INDEX = -100
@@ -72,15 +72,23 @@ class EvalTask:
     total_pixels: int = 16384 * 784
     min_pixels: int = 128 * 784
     max_pixels: int = 460800
+    split: str | None = None
 
 
 #: Benchmarks by name.
 TASKS = {
     "vstar": EvalTask("image"),
-    "hrbench4k": EvalTask("image", min_pixels=3211264, max_pixels=12845056),
-    "hrbench8k": EvalTask("image", min_pixels=3211264, max_pixels=12845056),
-    "blink": EvalTask("image"),
+    "hrbench4k": EvalTask("image", min_pixels=3211264, max_pixels=12845056, split="4k"),
+    "hrbench8k": EvalTask("image", min_pixels=3211264, max_pixels=12845056, split="8k"),
+    "blink": EvalTask("image", split="val"),
     "videomme": EvalTask("video", 2.0, 512, 20000 * 784, 50176, 460800),
     "mlvu": EvalTask("video", 2.0, 512, 20000 * 784, 50176, 460800),
     "mvbench": EvalTask("video", 2.0, 256, 16384 * 784, 12544, 602112),
 }
+
+
+def task_options(name: str, **given: object) -> EvalTask:
+    """The defaults of a task with what is given (and isn't None) in their place; an unknown name or option is refused."""
+    if name not in TASKS:
+        raise ValueError(f"no such task: {name!r}")
+    return replace(TASKS[name], **{k: v for k, v in given.items() if v is not None})

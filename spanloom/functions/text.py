@@ -23,6 +23,12 @@ def chat_role(role: Column) -> Column:
     return F.when(role == "human", F.lit("user")).when(role == "gpt", F.lit("assistant")).otherwise(role)
 
 
+def strict_role(role: Column) -> Column:
+    """As chat_role; a role that is neither of the four known ones nor system raises."""
+    known = chat_role(role)
+    return F.when(known.isin("user", "assistant", "system"), known).otherwise(F.raise_error(F.concat(F.lit("unknown role: "), F.coalesce(role, F.lit("null")))))
+
+
 def mark_media(text: Column, video: bool = False) -> Column:
     """Placeholders, with a newline on either side, as vision marks."""
     placeholder, mark = (config.VIDEO_PLACEHOLDER, config.VIDEO_MARK) if video else (config.IMAGE_PLACEHOLDER, config.IMAGE_MARK)
@@ -110,6 +116,11 @@ def user_message(images: Column, question: Column, min_pixels: int | None = None
     return F.struct(F.lit("user").alias("role"), parts.alias("content"))
 
 
+def system_turn() -> Column:
+    """The system turn that begins every chat."""
+    return chat_text(F.lit("system"), F.lit(config.SYSTEM_MESSAGE))
+
+
 def chat_text(role: Column, content: Column) -> Column:
     """One turn of the chat template."""
     return F.concat(F.lit(config.TURN_START), role, F.lit("\n"), content, F.lit(config.TURN_END + "\n"))

@@ -11,15 +11,21 @@ from pyspark.sql.functions import udtf
 
 
 def predict(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """(id, prediction array): a model's answers to (id, prompt), batch by batch. A failing batch gives empty answers."""
+    """(id, prediction array): a model's answers to (id, prompt), batch by batch.
+
+    A batch that fails is asked again row by row, so that only the rows that
+    fail themselves get empty answers.
+    """
+
+    def ask(said: pd.Series) -> list[str]:
+        try:
+            return [x or "" for x in model(said)]
+        except Exception:
+            return [y for i in range(len(said)) for y in ask(said.iloc[i : i + 1])] if len(said) > 1 else [""] * len(said)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                said = model(batch["prompt"])
-            except Exception:
-                said = pd.Series([""] * len(batch))
-            yield pd.DataFrame({"id": batch["id"], "prediction": [[x or ""] for x in said]})
+            yield pd.DataFrame({"id": batch["id"], "prediction": [[x] for x in ask(batch["prompt"])]})
 
     return prompts.select("id", "prompt").mapInPandas(run, "id string, prediction array<string>")
 

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config
+from ..functions.arrays import pad_right
+
 PACKED, TRUNCATED, DISCARDED = "packed", "truncated", "discarded"
 SCHEMA = "shard int, pack_id bigint, instance_ord int, id bigint, n_tokens bigint, status string"
 
@@ -168,7 +171,23 @@ def pack_first_fit(samples: DataFrame, limits: Limits | None = None) -> DataFram
     limits = limits or Limits()
     cut = F.coalesce(F.col("cuttable"), F.lit(True)) if "cuttable" in samples.columns else F.lit(True)
     rows = samples.select(F.col("shard").cast("int").alias("shard"), "ord", F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"), cut.alias("cuttable"))
-    return rows.groupBy("shard").applyInPandas(lambda part: pack_shard(part, limits), SCHEMA)
+    apart = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")  # light in bytes, heavy in work: not to be merged
+    return apart.groupBy("shard").applyInPandas(lambda part: pack_shard(part, limits), SCHEMA)
+
+
+def collate(packed: DataFrame, samples: DataFrame, max_tokens: int, pad: int = 0) -> DataFrame:
+    """(shard, pack_id, instance_ord, id, ids, labels, mask) of what is packed: every pack's rows padded on the right to its longest.
+
+    samples: id, ids, labels, unique by id. A sample cut by the packer keeps its
+    first max_tokens tokens; a discarded one is left out. Padding has the id
+    pad, no label and no mask.
+    """
+    kept = packed.where(F.col("status") != DISCARDED).select("shard", "pack_id", "instance_ord", "id", F.col("n_tokens").alias("_n"))
+    longest = kept.groupBy("shard", "pack_id").agg(F.max("_n").alias("_longest"))
+    rows = kept.join(longest, ["shard", "pack_id"]).join(samples.select("id", "ids", "labels"), "id")
+    cut = lambda c: F.slice(c, F.lit(1), F.col("_n").cast("int"))
+    mask = F.array_repeat(F.lit(1).cast("bigint"), F.col("_n").cast("int"))
+    return rows.select("shard", "pack_id", "instance_ord", "id", pad_right(cut("ids"), F.col("_longest"), pad).alias("ids"), pad_right(cut("labels"), F.col("_longest"), config.IGNORE_INDEX).alias("labels"), pad_right(mask, F.col("_longest"), 0).alias("mask"))
 
 
 def pack_statistics(packed: DataFrame, max_tokens: int) -> DataFrame:

@@ -46,21 +46,27 @@ def mixture_weights(df: DataFrame, source: str) -> DataFrame:
     return counted.join(F.broadcast(total)).select(source, "n_rows", F.round(share, 6).alias("weight"), F.round(share * 100, 2).alias("percent"))
 
 
-def weighted_draw(steps: DataFrame, step: str, weights: DataFrame, source: str, seed: int) -> DataFrame:
-    """(step, source): a source drawn for each step by its weight.
+def weighted_draw(steps: DataFrame, step: str, weights: DataFrame, source: str, seed: int, buckets: int = 4096) -> DataFrame:
+    """(step, source): a source drawn for each step by its weight, weights summing to 1; those without a positive weight are never drawn.
 
-    weights must be small (a list of sources): it is kept by every task, as
-    cumulative bounds, behind a check of its size.
+    The unit interval is cut into buckets, and each source stands in those that
+    its stretch touches; a step looks only at the sources of its bucket, by an
+    equal key. So the cost of a step doesn't grow with the sources, and their
+    list is broadcast only if it is small.
     """
-    if not weights.limit(10_001).count() <= 10_000:
-        raise ValueError("more than 10,000 sources to draw from")
     w = Window.orderBy(source)
     upper = F.sum("weight").over(w)
-    bounds = weights.select(source, (upper - F.col("weight")).alias("lo"), F.when(F.lead(source).over(w).isNull(), F.lit(2.0)).otherwise(upper).alias("hi"))
-    table = bounds.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", source))).alias("bounds"))
-    u = unit_interval(seeded_key(seed, F.col(step)))
-    drawn = steps.select(step, u.alias("u")).join(F.broadcast(table))
-    return drawn.select(step, F.get(F.filter("bounds", lambda b: (F.col("u") >= b["lo"]) & (F.col("u") < b["hi"])), F.lit(0))[source].alias(source))
+    bounds = weights.where("weight > 0").select(source, (upper - F.col("weight")).cast("double").alias("_lo"), F.when(F.lead(source).over(w).isNull(), F.lit(2.0)).otherwise(upper.cast("double")).alias("_hi"))
+    last = F.least(F.floor(F.col("_hi") * buckets), F.lit(buckets - 1))
+    stretches = bounds.withColumn("_bucket", F.explode(F.sequence(F.least(F.floor(F.col("_lo") * buckets), last), last)))
+    drawn = steps.select(step, unit_interval(seeded_key(seed, F.col(step))).alias("_u")).withColumn("_bucket", F.floor(F.col("_u") * buckets))
+    found = drawn.join(maybe_broadcast(stretches, BROADCAST_ROWS), "_bucket")
+    return found.where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select(step, source)
+
+
+def samples_drawn(drawn: DataFrame, source: str) -> DataFrame:
+    """(source, n_drawn): how often each source was drawn."""
+    return drawn.groupBy(source).agg(F.count(F.lit(1)).alias("n_drawn"))
 
 
 def drain(df: DataFrame, source: str, ord: str, weights: DataFrame, seed: int, block: int = 100_000) -> DataFrame:

@@ -25,6 +25,15 @@ def batch_shape(rows: DataFrame, batch: str, length: str) -> DataFrame:
     return rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n_rows"), F.max(length).alias("max_len"), (F.count(F.lit(1)) * F.max(length)).alias("padded_tokens"), F.sum(length).alias("tokens"))
 
 
+def crop_metrics(crops: DataFrame, batch: str) -> DataFrame:
+    """(batch, n_crops, tokens_gen): of each batch's crop grids (t, h, w) their number and the merged tokens of one on average.
+
+    The sum of patches is merged as a whole, and the mean rounded half to even.
+    """
+    merged = F.floor(F.sum(F.col("t") * F.col("h") * F.col("w")) / config.MERGE**2)
+    return crops.groupBy(batch).agg(F.count(F.lit(1)).alias("n_crops"), F.rint(merged / F.count(F.lit(1))).cast("bigint").alias("tokens_gen"))
+
+
 def max_steps(rows: Column, batch: int, world: int, accumulation: int) -> Column:
     return F.floor(rows / (accumulation * world * batch))
 

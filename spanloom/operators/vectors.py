@@ -29,11 +29,6 @@ def column_means(rows: DataFrame, vector: str, by: list[str]) -> DataFrame:
     return flat.groupBy(*by, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def mean_vector(means: DataFrame, by: list[str]) -> DataFrame:
-    """The means of a group as one array: the start value of a new row."""
-    return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("vector"))
-
-
 def scatter(tokens: DataFrame, features: DataFrame, placeholder: int) -> DataFrame:
     """(seq, pos, feature): the n-th feature of a sequence on its n-th placeholder; unequal numbers raise.
 

@@ -39,10 +39,11 @@ def placeholder_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", X.mark_media(F.col("text")).alias("marked"), X.with_placeholder(F.col("text")).alias("with_placeholder"))
 
 
-def box_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def box_count_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crop tokens of each record's boxes in order, boxes without a crop as 0."""
     tokens = geometry.crop_tokens(F.col("box"), F.col("w"), F.col("h"), IMAGE.crop_min_pixels, IMAGE.crop_max_pixels)
     lists = boxes(spark, sf_dir).select("conv_id", F.struct("box_no", tokens.alias("n")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return lists.select("conv_id", F.transform("x", lambda x: x["n"]).alias("counts"))
+    return lists.select("conv_id", F.array_join(F.transform("x", lambda x: x["n"].cast("string")), ",").alias("counts"))
 
 
 def reflection_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,7 @@ QUERIES = {
     "raw_record_normalize": raw_record_normalize,
     "bbox_geometry": bbox_geometry,
     "crop_tokens": crop_tokens,
+    "box_count_lists": box_count_lists,
     "span_normalize": span_normalize,
     "clue_frames": clue_frames,
     "frame_budget": frame_budget,
@@ -132,7 +134,7 @@ _MARK = "regexp_replace(text, '\\n?<image>\\n?', '<|vision_start|><|image_pad|><
 _PLAIN = "replace(replace(text, '<answer> ', 'The answer is: '), ' </answer>', '')"
 _STRIP = r"regexp_replace({}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
 _BLOCK = "CASE WHEN ({0}) > 0 THEN '<BOR>' || repeat('<VR>', CAST({0} AS BIGINT)) || '<EOR>' ELSE '' END"
-_BOX = r"^[\[\(]?\s*([-+]?\d+(\.\d+)?\s*,\s*){3}[-+]?\d+(\.\d+)?\s*[\]\)]?$"
+_BOX = X.PURE_BOX
 _BOXES = "(SELECT conv_id, unnest(range(len(b))) AS box_no, unnest(b) AS box, CAST(conv_id % 900 + 60 AS INTEGER) AS w, CAST(conv_id * 7 % 700 + 40 AS INTEGER) AS h FROM (SELECT conv_id, arg_min(struct_pack(b := bboxes), loaded_at).b AS b FROM visual_records GROUP BY conv_id) d)"
 _CL = "least(greatest(box[{}], 0), 1)"
 _ORDERED = f"(SELECT conv_id, box_no, w, h, least({_CL.format(1)}, {_CL.format(3)}) AS x0, least({_CL.format(2)}, {_CL.format(4)}) AS y0, greatest({_CL.format(1)}, {_CL.format(3)}) AS x1, greatest({_CL.format(2)}, {_CL.format(4)}) AS y1 FROM {_BOXES} b)"
@@ -187,3 +189,4 @@ SELECT conv_id, turn, array_to_string(flatten(list_transform(tokens, lambda t: C
   CASE WHEN len(tokens) = 0 THEN '{START}' WHEN NOT list_contains(tokens, {END}) THEN '{TOKEN}' WHEN {_GEN} - 1 < {len(PREFIX)} THEN CAST([{', '.join(map(str, PREFIX))}][{_GEN}] AS VARCHAR) WHEN {_GEN} - 1 = {len(PREFIX)} THEN '{','.join(map(str, LETTERS))}' ELSE '{STOP}' END AS allowed
 FROM {_TOKENS} x""",
 }
+ORACLE["box_count_lists"] = f"SELECT conv_id, string_agg(CAST(tokens AS VARCHAR), ',' ORDER BY box_no) AS counts FROM ({ORACLE['crop_tokens']}) c GROUP BY conv_id"

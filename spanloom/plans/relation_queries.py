@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions import text as X
 from ..operators import lookup, packing, sampling, training, vectors
-from ..session import checkpointed, table
+from ..session import scratch, table
 from ..sinks import results
-from ..sources.readers import union_all
-from ..streaming.streams import END, run_to_end, stream_pack
-from .scoring_queries import predictions
+from ..sources.readers import read_json_array, union_all
+from ..streaming.streams import END, run_to_table, run_updates, stream_metrics, stream_pack
+from .scoring_queries import JUDGED, PREDICTIONS, predictions
 
 SEED = 42
 LIMITS = packing.Limits(max_tokens=4096, max_instances=4, long_threshold=2048, max_buffers=100)
@@ -115,9 +112,9 @@ def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """batch, doc_id, ids: short token lists of documents, up to 32 to a batch."""
-    ids = F.transform(F.sequence(F.lit(0).cast("bigint"), F.pmod(F.col("n_chars"), F.lit(9))), lambda i: F.pmod(F.col("doc_id") * 31 + i * 7, F.lit(50)))
-    return documents(spark, sf_dir).where("n_chars is not null").select(arrays.chunk(F.col("doc_id"), 32).alias("batch"), "doc_id", ids.alias("ids"))
+    """batch, doc_id, ids: short token lists of documents, up to 32 to a batch; of an unknown length the shortest."""
+    ids = F.transform(F.sequence(F.lit(0).cast("bigint"), F.pmod(F.coalesce("n_chars", F.lit(0)), F.lit(9))), lambda i: F.pmod(F.col("doc_id") * 31 + i * 7, F.lit(50)))
+    return documents(spark, sf_dir).select(arrays.chunk(F.col("doc_id"), 32).alias("batch"), "doc_id", ids.alias("ids"))
 
 
 def _flat(column: object) -> object:
@@ -184,10 +181,11 @@ def scatter_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.greatest(F.lit(1).cast("bigint"), F.floor(F.coalesce("n_chars", F.lit(0)) / 4))
-    rows = documents(spark, sf_dir)
+    """shard, ord, id, n_tokens: documents as samples, four characters of text being about a token."""
+    n = F.greatest(F.lit(1).cast("bigint"), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4))
+    rows = table(spark, sf_dir, "documents").select("doc_id", n.alias("n_tokens"))
     shards = sampling.shards_for(rows.count(), least=SHARDS)
-    return rows.select(arrays.shard(F.col("doc_id"), shards).cast("int").alias("shard"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), n.alias("n_tokens"))
+    return rows.select(arrays.shard(F.col("doc_id"), shards).cast("int").alias("shard"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), "n_tokens")
 
 
 def pack_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,36 +196,56 @@ def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_statistics(pack_first_fit(spark, sf_dir), LIMITS.max_tokens)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a query that writes, where the session keeps its checkpoints."""
-    base = checkpointed(spark.range(1)).sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes in comes out: samples and tokens of each shard after packing, cut samples at their length."""
+    packed = pack_first_fit(spark, sf_dir)
+    return packed.groupBy("shard").agg(F.count_distinct("id").alias("n_samples"), F.count(F.lit(1)).alias("n_instances"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("longest"))
 
 
 def rows_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = results.write_predictions(predictions(spark, sf_dir), _scratch(spark, "rows"), 4)
-    return spark.read.schema("id bigint, prediction array<string>, label string, category string").json(path)
+    path = results.write_predictions(predictions(spark, sf_dir), scratch(spark, "rows"), 4)
+    rows = spark.read.schema("id bigint, prediction array<string>, label string, category string").json(path)
+    return rows.select("id", F.get("prediction", F.lit(0)).alias("prediction"), "label", "category")
 
 
 def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _scratch(spark, "metrics").removeprefix("file:")
-    path = results.write_metrics(predictions(spark, sf_dir), folder, "videomme", 4)
-    return spark.read.option("multiLine", True).schema("benchmark string, steps int, correct bigint, total bigint, accuracy double").json("file:" + path)
+    path = results.write_metrics(predictions(spark, sf_dir), scratch(spark, "metrics"), "videomme", 4)
+    rows = spark.read.option("multiLine", True).schema("benchmark string, steps int, correct bigint, total bigint, accuracy double").json(path)
+    return rows.withColumn("accuracy", F.round("accuracy", 6))
+
+
+def array_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array in one file, written and read again with the rows' positions: the items, which are a fixed table."""
+    rows = table(spark, sf_dir, "eval_items").select("item_id", "question", "task_type").orderBy("item_id")
+    path = results.write_prediction_array(rows, scratch(spark, "array"), 7)
+    return read_json_array(spark, path, "item_id bigint, question string, task_type string").select("ord", "item_id", "question", "task_type")
 
 
 def stream_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _scratch(spark, "samples")
+    folder = scratch(spark, "samples")
     rows = samples(spark, sf_dir)
     ends = rows.select("shard").distinct().select("shard", F.lit(1 << 60).alias("ord"), F.lit(-1).cast("bigint").alias("id"), F.lit(END).cast("bigint").alias("n_tokens"))
     rows.unionByName(ends).write.parquet(folder)
     stream = spark.readStream.schema("shard int, ord bigint, id bigint, n_tokens bigint").parquet(folder)
-    return run_to_end(stream_pack(stream, LIMITS), f"packs_{uuid.uuid4().hex}", "append")
+    return run_to_table(stream_pack(stream, LIMITS), scratch(spark, "packs"))
 
 
 def stream_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir}/lineitem.parquet*")
-    made = training.metric_means(rows.select(F.floor(F.col("l_orderkey") / 64).alias("step"), F.col("l_discount").alias("loss_ce")), "step", "loss_ce")
-    return run_to_end(made, f"means_{uuid.uuid4().hex}", "complete")
+    made = stream_metrics(rows.select(F.floor(F.col("l_orderkey") / 64).alias("step"), F.col("l_discount").alias("loss_ce")), "step", "loss_ce")
+    return run_updates(made, scratch(spark, "means"), "step").withColumn("loss_ce", F.round("loss_ce", 6))
+
+
+def crop_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged tokens a crop of batches of 64 conversations; a box's grid in patches from its share of a square of 56."""
+    side = lambda lo, hi: (F.floor(F.abs(F.get("box", F.lit(hi)) - F.get("box", F.lit(lo))) * 28) * 2 + 2).cast("bigint")
+    boxes = table(spark, sf_dir, "visual_records").select("conv_id", F.explode("bboxes").alias("box")).where("forall(box, x -> abs(x) < 1e6)")
+    crops = boxes.select(F.floor(F.col("conv_id") / 64).alias("batch"), F.lit(1).cast("bigint").alias("t"), side(1, 3).alias("h"), side(0, 2).alias("w"))
+    return training.crop_metrics(crops, "batch")
+
+
+def samples_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.samples_drawn(weighted_draw(spark, sf_dir), "ds_name")
 
 
 QUERIES = {
@@ -257,6 +275,10 @@ QUERIES = {
     "scatter_features": scatter_features,
     "pack_first_fit": pack_first_fit,
     "pack_stats": pack_stats,
+    "pack_totals": pack_totals,
+    "crop_metrics": crop_metrics,
+    "samples_drawn": samples_drawn,
+    "array_sink": array_sink,
     "rows_sink": rows_sink,
     "metrics_sink": metrics_sink,
     "stream_pack": stream_packs,
@@ -268,7 +290,7 @@ _STEM = r"regexp_replace({}, '([^.])\.[^.]*$', '\1')"
 _FILES = f"(SELECT DISTINCT video AS path, {_NAME.format('video')} AS name FROM video_records WHERE video IS NOT NULL)"
 _KEYS = f"(SELECT key, min(path) AS path FROM (SELECT path, unnest(list_distinct([name, {_STEM.format('name')}])) AS key FROM {_FILES} f WHERE name <> '' AND name NOT LIKE '.%' AND lower(regexp_extract(name, '[^.](\\.[^.]*)$', 1)) NOT IN ('.jpg', '.json', '.txt', '.parquet', '.zip')) k GROUP BY key)"
 _ASKED = "(SELECT item_id, 'v' || lpad(CAST(item_id % 160 AS VARCHAR), 8, '0') AS vid, CASE WHEN item_id % 4 < 2 THEN 'v' || lpad(CAST(item_id % 160 AS VARCHAR), 8, '0') WHEN item_id % 4 = 2 THEN 'none' ELSE 'v' || lpad(CAST(item_id % 160 AS VARCHAR), 8, '0') END AS key FROM eval_items)"
-_IDS = "(SELECT doc_id // 32 AS batch, doc_id, list_transform(range(n_chars % 9 + 1), lambda i: (doc_id * 31 + i * 7) % 50) AS ids FROM documents WHERE n_chars IS NOT NULL)"
+_IDS = "(SELECT doc_id // 32 AS batch, doc_id, list_transform(range(coalesce(n_chars, 0) % 9 + 1), lambda i: (doc_id * 31 + i * 7) % 50) AS ids FROM documents)"
 _FLAT = "array_to_string({}, ',')"
 _REPEAT = "list_transform(range({n}), lambda i: {v})"
 _TOKENS = "(SELECT l_orderkey AS seq, CAST(l_linenumber AS BIGINT) AS pos, l_partkey % 20 AS label FROM lineitem)"
@@ -309,4 +331,11 @@ FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM {_IDS} i
     "cosine_alignment": "SELECT a.label, round(1 - avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS loss, count(*) AS n_rows FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label",
     "column_mean": "SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) e GROUP BY label, pos",
     "scatter_features": f"SELECT seq, pos, seq * 100 + row_number() OVER (PARTITION BY seq ORDER BY pos) AS feature FROM {_TOKENS} t WHERE label < 8",
+    "pack_totals": f"SELECT CAST(doc_id % greatest({SHARDS}, (SELECT (count(*) + 49999) // 50000 FROM documents)) AS INTEGER) AS shard, count(*) AS n_samples, count(*) AS n_instances, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) AS longest FROM (SELECT doc_id, least(greatest(1, coalesce(length(text), 0) // 4), {LIMITS.max_tokens}) AS n FROM documents) d GROUP BY 1",
+    "crop_metrics": "SELECT batch, count(*) AS n_crops, CAST(round_even((CAST(sum(h * w) AS BIGINT) // 4) / CAST(count(*) AS DOUBLE), 0) AS BIGINT) AS tokens_gen FROM (SELECT conv_id // 64 AS batch, CAST(floor(abs(b[4] - b[2]) * 28) * 2 + 2 AS BIGINT) AS h, CAST(floor(abs(b[3] - b[1]) * 28) * 2 + 2 AS BIGINT) AS w FROM (SELECT conv_id, unnest(bboxes) AS b FROM visual_records) v WHERE len(list_filter(b, lambda x: NOT abs(x) < 1e6)) = 0) c GROUP BY batch",
+    "array_sink": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ord, item_id, question, task_type FROM eval_items",
+    "rows_sink": f"SELECT id, prediction, label, category FROM ({PREDICTIONS}) p",
+    "metrics_sink": f"SELECT 'videomme' AS benchmark, 4 AS steps, CAST(sum(ok) AS BIGINT) AS correct, count(*) AS total, round(sum(ok) / count(*), 6) AS accuracy FROM ({JUDGED}) j",
+    "stream_metrics": "SELECT l_orderkey // 64 AS step, count(*) AS n_micro, round(avg(l_discount), 6) AS loss_ce FROM lineitem GROUP BY l_orderkey // 64",
 }
+ORACLE["samples_drawn"] = f"SELECT ds_name, count(*) AS n_drawn FROM ({ORACLE['weighted_draw']}) d GROUP BY ds_name"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.answers import bracketed_letter, gold_letter, option_letter, predicted_letter
+from ..functions.answers import EXPLICIT, bracketed_letter, gold_letter, option_letter, predicted_letter
 from ..operators import scoring
 from ..operators.conversations import one_delivery
 from ..operators.sampling import next_valid
@@ -104,38 +104,31 @@ def letter_sql(text: str) -> str:
     """SQL of predicted_letter."""
     t = strip_sql(f"regexp_replace({text}, '<[^>]*>', ' ', 'g')")
     hit = lambda p, o: f"nullif(regexp_extract({t}, '{p}', 1{o}), '')"
-    patterns = [
-        r"answer\s*is\s*[:\-]?\s*\(?([A-Z])\)?",
-        r"answer\s*[:\-]\s*\(?([A-Z])\)?",
-        r"\(([A-Z])\)",
-        r"^\s*([A-Z])\s*[\.\):,]",
-        r"^\s*([A-Z])\s*$",
-    ]
-    return f"upper(coalesce({', '.join(hit(p, ', ' + chr(39) + 'i' + chr(39)) for p in patterns)}, {hit('(?:^|[^_' + chr(92) + 'pL' + chr(92) + 'pN])([A-Z])(?:[^_' + chr(92) + 'pL' + chr(92) + 'pN]|$)', '')}))"
+    return f"upper(coalesce({', '.join(hit(p, ', ' + chr(39) + 'i' + chr(39)) for p in EXPLICIT)}, {hit('(?:^|[^_' + chr(92) + 'pL' + chr(92) + 'pN])([A-Z])(?:[^_' + chr(92) + 'pL' + chr(92) + 'pN]|$)', '')}))"
 
 
-_PREDICTIONS = f"""
+PREDICTIONS = f"""
 SELECT v.rec_id AS id, v.answer AS prediction, e.answer AS label, e.task_type AS category
 FROM (SELECT rec_id, arg_min(struct_pack(a := answer), loaded_at).a AS answer FROM video_records GROUP BY rec_id) v
 JOIN eval_items e ON e.item_id = (v.rec_id % {ITEMS}) * {ITEM_STEP} + {FIRST_ITEM}
 """
-_JUDGED = f"""
+JUDGED = f"""
 SELECT coalesce(category, 'overall') AS category, CASE WHEN {letter_sql('prediction')} = coalesce({letter_sql('label')}, upper({strip_sql('label')})) THEN 1 ELSE 0 END AS ok
-FROM ({_PREDICTIONS}) p
+FROM ({PREDICTIONS}) p
 """
 _LETTERED = "coalesce(list_aggregate(list_transform(options[1:26], lambda c, i: chr(CAST(64 + i AS INTEGER)) || '. ' || c || chr(10)), 'string_agg', ''), '')"
 _SENTENCE = "Answer with the option''s letter from the given choices directly."
 _INSTRUCTION = "chr(10) || 'Output the letter of the correct answer only.'"
 
 ORACLE = {
-    "score_by_category": f"SELECT category, count(*) AS total, CAST(sum(ok) AS BIGINT) AS correct, round(sum(ok) / count(*), 6) AS accuracy FROM ({_JUDGED}) j GROUP BY category",
-    "score_rollup": f"SELECT category, CAST(grouping(category) AS INTEGER) AS is_overall, count(*) AS total, CAST(sum(ok) AS BIGINT) AS correct, round(sum(ok) / count(*), 6) AS accuracy FROM ({_JUDGED}) j GROUP BY ROLLUP (category)",
-    "score_report": f"SELECT category, format('Category: {{}} - Accuracy: {{}}/{{}} = {{:.2f}}', category, correct, total, accuracy * 100) AS line FROM (SELECT category, count(*) AS total, CAST(sum(ok) AS BIGINT) AS correct, round(sum(ok) / count(*), 6) AS accuracy FROM ({_JUDGED}) j GROUP BY category) s",
+    "score_by_category": f"SELECT category, count(*) AS total, CAST(sum(ok) AS BIGINT) AS correct, round(sum(ok) / count(*), 6) AS accuracy FROM ({JUDGED}) j GROUP BY category",
+    "score_rollup": f"SELECT category, CAST(grouping(category) AS INTEGER) AS is_overall, count(*) AS total, CAST(sum(ok) AS BIGINT) AS correct, round(sum(ok) / count(*), 6) AS accuracy FROM ({JUDGED}) j GROUP BY ROLLUP (category)",
+    "score_report": f"SELECT category, format('Category: {{}} - Accuracy: {{}}/{{}} = {{:.2f}}', category, correct, total, accuracy * 100) AS line FROM (SELECT category, count(*) AS total, CAST(sum(ok) AS BIGINT) AS correct, round(sum(ok) / count(*), 6) AS accuracy FROM ({JUDGED}) j GROUP BY category) s",
     "parse_letter": f"SELECT conv_id, turn, {letter_sql('t')} AS letter, coalesce({letter_sql('t')}, upper({strip_sql('t')})) AS gold FROM (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE role IN ('gpt', 'assistant') GROUP BY conv_id, turn) s",
     "option_letter": "SELECT item_id, upper(answer) AS from_letter, chr(CAST(64 + list_position(options, options[1 + item_id % 4]) AS INTEGER)) AS from_text, upper(substr('(' || lower(answer) || ')', 2, 1)) AS bracketed FROM eval_items",
     "prompt_lettered": f"SELECT item_id, question || chr(10) || 'Options:' || chr(10) || {_LETTERED} AS lettered, question || chr(10) || {_LETTERED} || '{_SENTENCE}' AS instructed, question || chr(10) || 'Options:' || chr(10) || {_LETTERED} || {_INSTRUCTION} AS with_task, replace(question || chr(10) || {_LETTERED} || '{_SENTENCE}', '{_SENTENCE}', {_INSTRUCTION}) AS replaced FROM eval_items",
     "prompt_abcd": "SELECT item_id, question || chr(10) || 'Options:' || chr(10) || '(A)' || options[1] || chr(10) || '(B)' || options[2] || chr(10) || '(C)' || options[3] || chr(10) || '(D)' || options[4] AS prompt FROM eval_items",
     "eval_messages": "SELECT item_id, 0 AS part, 'image' AS kind, 'images/' || item_id || '.jpg' AS ref, CAST(NULL AS VARCHAR) AS body, CAST(12845056 AS BIGINT) AS max_pixels FROM eval_items UNION ALL SELECT item_id, 1, 'text', NULL, question, NULL FROM eval_items",
-    "next_valid_row": f"SELECT id, coalesce(first_value(CASE WHEN ok THEN id END IGNORE NULLS) OVER (ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), min(CASE WHEN ok THEN id END) OVER ()) AS taken FROM (SELECT id, {letter_sql('prediction')} IS NOT NULL AS ok FROM ({_PREDICTIONS}) p) s",
-    "decode_failure_default": f"SELECT id, coalesce(prediction, '') AS prediction, label, coalesce(category, 'overall') AS category FROM ({_PREDICTIONS}) p",
+    "next_valid_row": f"SELECT id, coalesce(first_value(CASE WHEN ok THEN id END IGNORE NULLS) OVER (ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), min(CASE WHEN ok THEN id END) OVER ()) AS taken FROM (SELECT id, {letter_sql('prediction')} IS NOT NULL AS ok FROM ({PREDICTIONS}) p) s",
+    "decode_failure_default": f"SELECT id, coalesce(prediction, '') AS prediction, label, coalesce(category, 'overall') AS category FROM ({PREDICTIONS}) p",
 }

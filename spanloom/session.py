@@ -6,11 +6,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Bytes up to which a side of a join is broadcast, whatever its rows.
+BROADCAST_BYTES = 64 << 20
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -111,11 +116,25 @@ def keyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows, reading no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take: texts by their length, nested values by that of their JSON, others eight."""
+    sizes = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 8)
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) + 8)
+        else:
+            sizes.append(F.lit(8))
+    return reduce(add, sizes, F.lit(0)).cast("bigint")
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast df only if its row count is proven to lie under the bound."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
+def small_enough(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most max_rows rows of at most max_bytes together, looking at no more than that many rows."""
+    n, size = df.select(row_bytes(df).alias("_bytes")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast df only if its rows and bytes are proven to lie under the bounds."""
+    return F.broadcast(df) if small_enough(df, max_rows, max_bytes) else df

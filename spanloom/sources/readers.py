@@ -3,39 +3,26 @@
 from __future__ import annotations
 
 import os
-import zipfile
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EvalTask, task_options
 from ..functions import text as X
 from ..functions.answers import bracketed_letter, option_letter
 from ..functions.arrays import compact_images, scalar_or_list
-from ..operators.lookup import look_up
+from ..operators.lookup import look_up, video_index
+from .files import exists, first_file, first_folder, json_elements, list_files, names_in
 
 RECORD_SCHEMA = "image string, bboxes array<array<double>>, conversations array<struct<from:string,value:string>>, video string, question string, answer string, temporal_span string, clue_intervals string"
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array, a row for each element with its position as ord.
-
-    The position comes with the parsed array, so it survives any later filter.
-    A record file is read by one task: split large ones into several, or use
-    JSON lines.
-    """
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    parsed = whole.select("file", F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("ord", "r"))
-    return parsed.select("file", F.col("ord").cast("bigint").alias("ord"), "r.*")
-
-
-def _fields(schema: str) -> str:
-    """A DDL column list as struct fields."""
-    depth, out = 0, ""
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        out += ":" if c == " " and not depth and schema[i - 1] != "," and ":" not in out.rpartition(",")[2] else c
-    return out.replace(", ", ",")
+    """Files that are one JSON array each, a row for each element with its position as ord, which survives any later filter."""
+    parsed = json_elements(spark, path).select("file", "ord", F.from_json("element", schema).alias("r"))
+    return parsed.select("file", "ord", "r.*")
 
 
 def read_records(spark: SparkSession, path: str, name: str = "dataset") -> DataFrame:
@@ -48,13 +35,18 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Records of a file, or of all files that it lists if it is a manifest, under their source names.
 
     A file is a manifest if its first element has no conversations. Every entry
-    is read. Paths are relative to the manifest's folder unless absolute.
+    is read. Paths are relative to the manifest's folder unless absolute. Two
+    entries of one name are refused: they would be one source under two weights.
     """
     head = read_json_array(spark, path, "conversations array<struct<from:string,value:string>>, data_path string, image_folder string, ds_name string")
     first = head.where("ord = 0").select("conversations").first()
     if first is None or first[0] is not None:
         return read_records(spark, path).withColumn("image_folder", F.lit(None).cast("string"))
-    parts = [read_records(spark, os.path.join(os.path.dirname(path), m.data_path), m.ds_name).withColumn("image_folder", F.lit(m.image_folder).cast("string")) for m in head.select("data_path", "image_folder", "ds_name").orderBy("ord").collect()]
+    entries = head.select("data_path", "image_folder", "ds_name").orderBy("ord").collect()
+    twice = sorted(n for n, k in Counter(m.ds_name for m in entries).items() if k > 1)
+    if twice:
+        raise ValueError(f"sources named twice: {twice}")
+    parts = [read_records(spark, os.path.join(os.path.dirname(path), m.data_path), m.ds_name).withColumn("image_folder", F.lit(m.image_folder).cast("string")) for m in entries]
     return union_all(parts)
 
 
@@ -71,24 +63,34 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def read_four_options(spark: SparkSession, path: str) -> DataFrame:
-    """Base64 images with options A to D: question_id, image, query, label, category."""
-    rows = spark.read.parquet(path)
+def read_four_options(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Base64 images with options A to D: question_id, image, query, label, category. With a split (4k or 8k) path is a folder."""
+    rows = spark.read.parquet(f"{path}/hr_bench_{split}.parquet" if split else path)
     category = F.col("category") if "category" in rows.columns else F.lit("overall")
     return rows.select(F.col("index").cast("bigint").alias("question_id"), F.unbase64("image").alias("image"), X.four_option_prompt(*map(F.col, ("question", "A", "B", "C", "D"))).alias("query"), F.col("answer").alias("label"), category.alias("category"))
 
 
-def read_configs(spark: SparkSession, folder: str) -> DataFrame:
-    """Several configurations, one folder of Parquet each (assets left out), the name as category."""
-    names = sorted(d for d in os.listdir(folder) if d != "assets" and os.path.isdir(os.path.join(folder, d)))
+def read_configs(spark: SparkSession, folder: str, split: str = "val") -> DataFrame:
+    """One split of several configurations, each a folder of Parquet files named by split (assets left out), the name as category."""
     parts = []
-    for name in names:
-        rows = spark.read.parquet(os.path.join(folder, name))
+    for name in names_in(spark, folder, folders=True):
+        if name == "assets":
+            continue
+        rows = spark.read.option("pathGlobFilter", f"{split}[-_.]*").parquet(f"{folder}/{name}")
         images = compact_images(*(F.col(c) for c in ("image_1", "image_2", "image_3", "image_4") if dict(rows.dtypes).get(c) in ("binary", "string")))  # a column of nulls alone has no such type
         parts.append(rows.select(F.col("idx").cast("string").alias("question_id"), images.alias("image"), X.lettered_prompt(F.col("question"), F.col("choices")).alias("query"), bracketed_letter(F.col("answer")).alias("label"), F.lit(name).alias("category")))
     return union_all(parts)
 
 
+def read_first_parquet(spark: SparkSession, folder: str, preferred: str = ".parquet") -> DataFrame:
+    """The table of the first Parquet file below a folder, of one with the preferred ending if there is any, with each row's position as ord."""
+    path = first_file(spark, folder, preferred, ".parquet")
+    if path is None:
+        raise FileNotFoundError(f"no Parquet file below {folder}")
+    rows = spark.read.parquet(path)
+    return rows.withColumn("ord", F.col("_metadata.row_index"))
+
+
 def read_url_keyed(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Video questions keyed by URL, or by videoID where the URL's isn't found; those without a file are left out."""
     key = X.url_video_id(F.col("url"), F.col("videoID"))
@@ -98,7 +100,7 @@ def read_url_keyed(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def read_name_keyed(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Video questions keyed by name. rows carry ord, their position before any filter; question_id and task_type may be missing."""
+    """Video questions keyed by name. rows carry ord, their position before any filter (read_first_parquet gives it); question_id and task_type may be missing."""
     given = F.nullif(F.col("question_id").cast("string"), F.lit("")) if "question_id" in rows.columns else F.lit(None).cast("string")
     task = F.nullif(F.col("task_type"), F.lit("")) if "task_type" in rows.columns else F.lit(None).cast("string")
     found = look_up(rows, index, F.col("video_name")).where("found is not null")
@@ -113,47 +115,57 @@ def read_task_folder(spark: SparkSession, folder: str, index: DataFrame) -> Data
     return found.select(X.composite_id(F.col("task"), F.col("ord")).alias("id"), F.col("found").alias("video"), "question", F.col("candidates").alias("choices"), option_letter(F.col("answer"), F.col("candidates")).alias("label"), F.col("task").alias("category"))
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size) of every file below a folder; contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"))
+def resolve_source(spark: SparkSession, source: str) -> str:
+    """A folder that there is, as it is; anything else would need a download."""
+    if exists(spark, source):
+        return source
+    raise FileNotFoundError(f"{source} is no folder")
 
 
-def find_file(root: str, ending: str) -> str | None:
-    """The first file by path whose name ends so."""
-    found = sorted(os.path.join(d, f) for d, _, files in os.walk(root) for f in files if f.endswith(ending))
-    return found[0] if found else None
+#: Loaders of tasks by name: a function of (spark, path, options) that gives the task's table.
+LOADERS: dict[str, Callable[[SparkSession, str, EvalTask], DataFrame]] = {}
 
 
-def find_folder(root: str, name: str) -> str | None:
-    found = sorted(os.path.join(d, name) for d, folders, _ in os.walk(root) if name in folders)
-    return found[0] if found else None
+def register_loader(*names: str) -> Callable:
+    """Register a loader for tasks; the names must be free."""
 
+    def add(loader: Callable[[SparkSession, str, EvalTask], DataFrame]) -> Callable:
+        for name in names:
+            if name in LOADERS:
+                raise ValueError(f"a loader for {name} is registered already")
+            LOADERS[name] = loader
+        return loader
 
-def resolve_source(source: str) -> str:
-    """A local folder as it is; anything else would need a network."""
-    if os.path.isdir(source):
-        return source
-    raise FileNotFoundError(f"{source} is no local folder")
+    return add
+
+
+def load_task(spark: SparkSession, name: str, path: str, **given: object) -> DataFrame:
+    """The table of a registered task, its options being the task's defaults and what is given beside them."""
+    if name not in LOADERS:
+        raise ValueError(f"no loader for {name!r}; there are {sorted(LOADERS)}")
+    return LOADERS[name](spark, resolve_source(spark, path), task_options(name, **given))
+
+
+@register_loader("hrbench4k", "hrbench8k")
+def _four_options(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
+    return read_four_options(spark, path, options.split)
+
+
+@register_loader("blink")
+def _configs(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
+    return read_configs(spark, path, options.split or "val")
 
 
-def stage_archives(source: str, target: str) -> str:
-    """Unpack every zip archive below source into target, once: a marker guards against doing it again."""
-    marker = os.path.join(target, ".extracted")
-    if not os.path.exists(marker):
-        os.makedirs(target, exist_ok=True)
-        for d, _, files in os.walk(source):
-            for name in sorted(files):
-                if name.endswith(".zip"):
-                    with zipfile.ZipFile(os.path.join(d, name)) as archive:
-                        archive.extractall(target)
-        with open(marker, "w") as f:
-            f.write("done\n")
-    return target
+@register_loader("videomme")
+def _url_keyed(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
+    return read_url_keyed(read_first_parquet(spark, path, "test-00000-of-00001.parquet"), video_index(list_files(spark, path)))
 
 
-#: Registered sources: name to function of (spark, path) that gives a table.
-SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"records": read_records, "sources": read_sources, "four_options": read_four_options, "configs": read_configs}
+@register_loader("mlvu")
+def _name_keyed(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
+    return read_name_keyed(read_first_parquet(spark, path), video_index(list_files(spark, path)))
 
 
-def register_source(name: str, loader: Callable[[SparkSession, str], DataFrame]) -> None:
-    SOURCES[name] = loader
+@register_loader("mvbench")
+def _task_folder(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
+    return read_task_folder(spark, first_folder(spark, path, "json") or path, video_index(list_files(spark, path)))

@@ -42,8 +42,30 @@ def stream_metrics(metrics: DataFrame, step: str, *names: str) -> DataFrame:
     return metrics.groupBy(step).agg(F.count(F.lit(1)).alias("n_micro"), *(F.avg(n).alias(n) for n in names))
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drive a stream over what is there now into a table in memory: for tests and small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Drive an appending stream over what is there now into a Parquet table of a folder, and read it.
+
+    The stream's position and state lie in the folder as well, so a second call
+    with the same folder goes on where the first stopped, also after a loss of
+    the driver; files of a batch that was cut off are never read.
+    """
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/position").trigger(availableNow=True).start(f"{folder}/table")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def run_updates(stream: DataFrame, folder: str, *keys: str) -> DataFrame:
+    """Drive a stream of updated aggregates over what is there now; of each key the latest values.
+
+    Every batch of updates is a part of the table, overwritten if it is
+    repeated after a loss.
+    """
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/table/part={batch}")
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/position").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    parts = stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{folder}/table")
+    values = [c for c in stream.columns if c not in keys]
+    return parts.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")

@@ -51,3 +51,11 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
 
 def test_scratch_folders_differ(spark):
     assert session.scratch(spark, "a") != session.scratch(spark, "a")
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, [1, 2], 3), (None, None, None)], "s string, a array<int>, n int")
+    assert session.small_enough(df, 2) and not session.small_enough(df, 1) and not session.small_enough(df, 2, 1000)
+    assert session.small_enough(df.limit(0), 0, 0)
+    broadcast = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert broadcast(session.maybe_broadcast(df, 2)) and not broadcast(session.maybe_broadcast(df, 2, 1000))
