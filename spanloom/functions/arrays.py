@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .. import config
 
 
+#: A marker, a word or a sign.
+RULE_TOKEN = r"<\|[a-z_]+\|>|</?[A-Za-z]+>|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
 def rule_tokens(text: Column) -> Column:
-    """Token ids by a plain rule: words and single signs, each by its hash. A stand-in where no vocabulary is at hand; any Column function of its kind may take its place."""
-    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
+    """Token ids by a plain rule: markers, words and single signs, each by its hash. A stand-in where no vocabulary is at hand; any Column function of its kind may take its place."""
+    words = F.regexp_extract_all(text, F.lit(f"({RULE_TOKEN})"), F.lit(1))
     return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint"))
 
 
@@ -44,6 +48,11 @@ def split_by_lengths(ids: Column, lengths: Column) -> Column:
     return F.transform(F.arrays_zip(starts.alias("s"), lengths.alias("n")), lambda p: F.slice(ids, p["s"].cast("int") + 1, p["n"].cast("int")))
 
 
+def or_empty(values: Column, kind: str) -> Column:
+    """An array, an empty one for null."""
+    return F.coalesce(values, F.array().cast(f"array<{kind}>"))
+
+
 def scalar_or_list(text: Column, kind: str = "string") -> Column:
     """JSON text of a value or of a list of values, as a list."""
     return F.coalesce(F.from_json(text, f"array<{kind}>"), F.when(~text.rlike(r"^\s*\["), F.array(F.regexp_replace(text, r'^\s*"|"\s*$', "").cast(kind))))

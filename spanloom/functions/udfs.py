@@ -30,6 +30,25 @@ def predict(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> Data
     return prompts.select("id", "prompt").mapInPandas(run, "id string, prediction array<string>")
 
 
+def guarded(rows: DataFrame, step: Callable[[str], str | None], skip: tuple[type[Exception], ...] = (ValueError, OSError)) -> DataFrame:
+    """(id, value, error) of a step over (id, value): the error's kind where a row fails in one of the ways to skip; other failures end the query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values: list[str | None] = []
+            errors: list[str | None] = []
+            for value in batch["value"]:
+                try:
+                    values.append(step(value))
+                    errors.append(None)
+                except skip as e:
+                    values.append(None)
+                    errors.append(next(k.__name__ for k in skip if isinstance(e, k)))
+            yield pd.DataFrame({"id": batch["id"], "value": pd.Series(values, dtype="object"), "error": pd.Series(errors, dtype="object")})
+
+    return rows.select("id", "value").mapInPandas(run, "id string, value string, error string")
+
+
 class ArchiveIndex:
     """The members of a zip archive. Register with register_archive_index."""
 

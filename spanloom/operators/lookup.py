@@ -35,3 +35,10 @@ def look_up(rows: DataFrame, index: DataFrame, *names: Column) -> DataFrame:
 def missing(rows: DataFrame, index: DataFrame, name: str) -> DataFrame:
     """(n_missing): how many rows the index can't resolve."""
     return look_up(rows, index, F.col(name)).agg(F.sum(F.col("found").isNull().cast("bigint")).alias("n_missing"))
+
+
+def resolve_paths(rows: DataFrame, path: str, folder: str, files: DataFrame) -> DataFrame:
+    """rows with resolved: a path that is among the files (path), or is absolute or an address, as it is, another one in its folder."""
+    known = maybe_broadcast(files.select(F.col("path").alias("_path")).distinct(), BROADCAST_ROWS)
+    both = rows.join(known, F.col(path) == F.col("_path"), "left")
+    return both.withColumn("resolved", F.when(F.col("_path").isNotNull(), F.col(path)).otherwise(X.in_folder(F.col(path), F.col(folder)))).drop("_path")

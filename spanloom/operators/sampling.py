@@ -27,6 +27,11 @@ def shards_for(rows: int, per_shard: int = 50_000, least: int = 1) -> int:
     return max(least, -(-rows // per_shard))
 
 
+def resumed(df: DataFrame, ord: str, worker: int, workers: int, position: int = 0) -> DataFrame:
+    """A worker's rows of a source dealt out round robin, from its position on: the rows that it hasn't seen before."""
+    return df.where((F.pmod(F.col(ord), F.lit(workers)) == worker) & (F.floor(F.col(ord) / workers) >= position))
+
+
 def global_worker(rank: Column, local: Column, workers: int) -> Column:
     return rank * workers + local
 

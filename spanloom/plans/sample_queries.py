@@ -66,7 +66,7 @@ def collated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"chat_sample_sums": chat_sample_sums, "role_check": role_check, "packed_samples": packed_samples, "collated_packs": collated_packs, "collated_totals": collated_totals}
 
-_TOKENS = r"list_transform(regexp_extract_all({}, '[\pL\pN_]+|[^\pL\pN_\s]'), lambda w: CAST('0x' || substr(md5(w), 1, 7) AS BIGINT))"
+_TOKENS = rf"list_transform(regexp_extract_all({{}}, '{arrays.RULE_TOKEN.replace('{', '{{').replace('}', '}}')}'), lambda w: CAST('0x' || substr(md5(w), 1, 7) AS BIGINT))"
 _SYSTEM = f"'{config.TURN_START}system' || chr(10) || '{config.SYSTEM_MESSAGE}{config.TURN_END}' || chr(10)"
 _HEAD = r"regexp_extract(response, '(?s)^(.*?\n)', 1)"
 _SUMS = f"""
