@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast, spread
@@ -95,25 +95,26 @@ def count_codes(replies: list[list[int]]) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch], prepare: Callable[[str], str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         _CODES.clear()
-        found = count_codes([_codes(r) for r in batch.column(0).to_pylist() if r])
+        found = count_codes([_codes(prepare(r)) for r in batch.column(0).to_pylist() if r])
         names = {c - (1 << 64) if c >> 63 else c: w for w, c in _CODES.items()}
         for n, (keys, *sums) in enumerate(found, 1):
             words = [names.get(k) for k in keys.tolist()] if n == 1 else [None] * len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(words, pa.string()), *map(pa.array, sums)], schema=_ARROW)
 
 
-def count_endings(replies: DataFrame, text: Column, wanted: DataFrame) -> DataFrame:
+def count_endings(replies: DataFrame, prepare: Callable[[str], str], wanted: DataFrame) -> DataFrame:
     """(h, word, n, ends, goes_on, last) of every word, and of those wanted codes (h) that stand for pairs or triples.
 
     n counts occurrences, ends those before a sentence's end (an ellipsis is
     none), goes_on those before another word, last those that are the last word
-    of a reply. word is null for pairs and triples.
+    of a reply, each reply as prepare leaves it. word is null for pairs and
+    triples.
     """
-    rows = spread(replies.where(F.length("reply") > 0)).select(text.alias("reply"))
-    counted = rows.mapInArrow(_count_batches, COUNTS)
+    rows = spread(replies.where(F.length("reply") > 0).select("reply"))
+    counted = rows.mapInArrow(lambda batches: _count_batches(batches, prepare), COUNTS)
     marked = maybe_broadcast(wanted.select("h", F.lit(True).alias("wanted")), BROADCAST_ROWS)
     kept = counted.join(marked, "h", "left").where("word is not null or wanted")
     return kept.groupBy("h").agg(F.max("word").alias("word"), *(F.sum(c).alias(c) for c in ("n", "ends", "goes_on", "last")))

@@ -41,6 +41,7 @@ for _k, _v in FUNCTION_WORDS.items():
     for _w in set(_v.split()):
         _LANGUAGES_OF.setdefault(_w, []).append(_k)
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _SCORED = re.compile(r"[^\W\d_]{2,}|(?<![^\W\d_])[aoyeiàéwz](?![^\W\d_])")
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|„[^“”]*[“”]|‘[^’]*’|「[^」]*」")
 _SCRIPTS = ("LATIN", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "THAI")
@@ -62,9 +63,9 @@ def _script(char: str) -> str:
 
 
 def script_of(text: str) -> tuple[str, int]:
-    """(the script of most letters, their number); kana make a text Japanese."""
+    """(the script of most letters, their number, of plain ASCII only whether there are any); kana make a text Japanese."""
     if text.isascii():
-        return "LATIN", sum(map(str.isalpha, text))
+        return "LATIN", int(_ASCII_LETTER.search(text) is not None)
     found = Counter(map(_script, text))
     del found[""]
     kana = found.pop("HIRAGANA", 0) + found.pop("KATAKANA", 0)

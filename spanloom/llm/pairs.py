@@ -14,11 +14,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import checkpointed, keyed, maybe_broadcast, spread
 from .endings import TOKEN, count_endings, folded, gram_code, longest_rivals
@@ -85,8 +83,8 @@ def without_request(prompt: str) -> str:
 
 def is_empty(text: str) -> bool:
     """Whether nothing but blanks, punctuation or a stand-in for nothing is left of a bare reply."""
-    if len(text) > 20 and sum(map(str.isalnum, text)) > 20:
-        return False
+    if len(text) > 20 and sum(map(str.isalnum, text[:60])) > 20:
+        return False  # what stands for nothing is shorter
     visible = "".join(c for c in text if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Sc", "Sm", "So"))
     if not visible or all(unicodedata.category(c) == "So" for c in visible):
         return not any(unicodedata.category(c) == "So" for c in visible)
@@ -138,6 +136,8 @@ def is_refusal(text: str) -> bool:
 
 def is_foreign(prompt: str, text: str) -> bool:
     """Whether a bare reply is in another language than the prompt, which asks for none."""
+    if text.isascii() and text.count(" ") < 3 and len(text.split()) < 4:
+        return False  # too little of it to tell
     fold = unicodedata.normalize
     return same_language(fold("NFKC", unquoted(prompt)), fold("NFKC", unquoted(text))) is False and not ASKED.search(prompt)
 
@@ -232,15 +232,10 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _JUDGED_ARROW, strict=True)], schema=_JUDGED_ARROW)
 
 
-@F.pandas_udf(T.StringType())
-def bare_reply(replies: pd.Series) -> pd.Series:
-    return pd.Series([bare(r) if r else "" for r in replies], dtype="object")
-
-
 def _cut_tails(tails: DataFrame, replies: DataFrame) -> DataFrame:
     """(k): the keys of those tails (k, state, g1, h1, hu, h2, h3) that stop before a sentence's or a word's end."""
     wanted = tails.select(F.explode(F.array("h2", "h3")).alias("h")).where("h is not null").distinct()
-    counts = checkpointed(count_endings(replies, bare_reply("reply"), wanted))
+    counts = checkpointed(count_endings(replies, bare, wanted))
     small = maybe_broadcast(counts.drop("word"), BROADCAST_ROWS)
     for x in ("1", "u", "2", "3"):
         side = small.select(F.col("h").alias(f"h{x}"), *(F.col(c).alias(f"{c}{x}") for c in ("n", "ends", "goes_on", "last")))

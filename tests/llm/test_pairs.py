@@ -1,7 +1,6 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from spanloom.llm.endings import count_endings, gram_code, longest_rivals
 from spanloom.llm.languages import same_language
@@ -119,7 +118,7 @@ def test_truncated_by_the_corpus(spark, times):
 def test_counts_of_endings(spark):
     texts = ["The cup falls. The cup falls", "a cup... the cup!", "cup", None, ""]
     wanted = spark.createDataFrame([(gram_code(["the", "cup"]),), (gram_code(["the", "cup", "falls"]),)], "h bigint")
-    got = {r.h: (r.word, r.n, r.ends, r.goes_on, r.last) for r in count_endings(spark.createDataFrame([(t,) for t in texts], "reply string"), F.col("reply"), wanted).collect()}
+    got = {r.h: (r.word, r.n, r.ends, r.goes_on, r.last) for r in count_endings(spark.createDataFrame([(t,) for t in texts], "reply string"), str, wanted).collect()}
     assert got[gram_code(["cup"])] == ("cup", 5, 1, 2, 2) and got[gram_code(["falls"])] == ("falls", 2, 1, 0, 1)
     assert got[gram_code(["the", "cup"])] == (None, 3, 1, 2, 1) and got[gram_code(["the", "cup", "falls"])] == (None, 2, 1, 0, 1)
     assert len(got) == 6  # the, cup, falls, a and the two asked for
