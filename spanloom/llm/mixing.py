@@ -11,8 +11,7 @@ sorted in one task.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -24,8 +23,8 @@ from ..session import checkpointed, maybe_broadcast
 from .languages import language_of
 
 SEED = 42
-#: Most sources a mixture may have; their totals are planned on the driver.
-MAX_SOURCES = 100_000
+#: Sources (or parts of them) up to which a mixture is planned on the driver.
+MAX_DRIVER = 100_000
 #: Rows of a hash bucket aimed at; the bucket in which a prefix ends is sorted in one task.
 BUCKET_ROWS = 20_000
 BROADCAST_ROWS = 1_000_000
@@ -164,7 +163,7 @@ def record_languages(videos: DataFrame, turns: DataFrame) -> DataFrame:
     return both.select("tbl", "rec_id", spoken("text").alias("lang"))
 
 
-def plan_mixture(records: DataFrame, targets: DataFrame, groups: DataFrame, levels: list[str], total: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def plan_mixture(records: DataFrame, targets: DataFrame, groups: DataFrame, levels: list[str], total: int | None = None, by: Sequence[str] = (), max_driver: int = MAX_DRIVER) -> DataFrame:
     """(levels, by, ds_name, target_share, max_repeats, n_records, capacity, used, actual_share) of each source with a target.
 
     records: tbl, rec_id, ds_name; targets: ds_name, target_share, max_repeats;
@@ -175,27 +174,67 @@ def plan_mixture(records: DataFrame, targets: DataFrame, groups: DataFrame, leve
     records takes exactly its share. Shares of sources named alike are added,
     the least of their max_repeats holds; null shares count 0, null max_repeats
     1, null parts "other". A source without records takes none and its share
-    passes on.
+    passes on. Up to max_driver sources are planned on the driver, more of them
+    level by level on the workers, to the same result.
     """
     spark = records.sparkSession
     names = targets.select(source_name(F.col("ds_name")).alias("ds_name"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("s"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).cast("bigint").alias("m"))
     wanted = names.where(F.col("ds_name").isNotNull()).groupBy("ds_name").agg(F.sum("s").alias("target_share"), F.min("m").alias("max_repeats"))
     counts = records.groupBy("ds_name", *(F.coalesce(c, F.lit("other")).alias(c) for c in by)).agg(F.count(F.lit(1)).alias("n_records"))
     above = groups.groupBy("ds_name").agg(*(F.max(F.col(c)).alias(c) for c in levels)) if levels else groups.select("ds_name").distinct()
-    rows = [r.asDict() for r in wanted.join(counts, "ds_name", "left").join(above, "ds_name", "left").fillna(0, ["n_records"]).orderBy("ds_name", *by).limit(MAX_SOURCES + 1).collect()]
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"a mixture of more than {MAX_SOURCES} sources")
-    whole = Counter[str]()
-    for r in rows:
-        whole[r["ds_name"]] += r["n_records"]
-    for r in rows:
-        r["capacity"] = r["n_records"] * r["max_repeats"]
-        r["target_share"] *= r["n_records"] / whole[r["ds_name"]] if whole[r["ds_name"]] else 1
+    paths = [*levels, *by, "ds_name"] if by else ["ds_name"]
+    whole = counts.groupBy("ds_name").agg(F.sum("n_records").alias("all_records"))
+    leaves = wanted.join(counts, "ds_name", "left").join(whole, "ds_name", "left").join(above, "ds_name", "left").fillna(0, ["n_records"])
+    part = F.coalesce(F.col("n_records") / F.col("all_records"), F.lit(1.0))
+    columns = [*dict.fromkeys([*levels, *by, "ds_name"])]
+    leaves = leaves.select(*columns, (F.col("target_share") * part).alias("target_share"), "max_repeats", "n_records", (F.col("n_records") * F.col("max_repeats")).alias("capacity"))
+    schema = ", ".join(f"{c} string" for c in paths) + ", target_share double, max_repeats bigint, n_records bigint, capacity bigint, used bigint, actual_share double"
+    leaves = checkpointed(leaves)
+    if leaves.limit(max_driver + 1).count() > max_driver:
+        return plan_by_levels(leaves, [*levels, *by], total).select(*paths, "target_share", "max_repeats", "n_records", "capacity", "used", "actual_share")
+    rows = [r.asDict() for r in leaves.orderBy("ds_name", *by).collect()]
     budgets = plan_budgets(rows, [*levels, *by], total)
     drawn = sum(budgets)
-    paths = [*levels, *by, "ds_name"] if by else ["ds_name"]
     out = [(*(r[c] for c in paths), float(r["target_share"]), r["max_repeats"], r["n_records"], r["capacity"], used, used / drawn if drawn else 0.0) for r, used in zip(rows, budgets, strict=True)]
-    return spark.createDataFrame(out, ", ".join(f"{c} string" for c in paths) + ", target_share double, max_repeats bigint, n_records bigint, capacity bigint, used bigint, actual_share double")
+    return spark.createDataFrame(out, schema)
+
+
+def _sharing(path: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Share a node's budget among its children, the nodes of a path's last column."""
+
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(path[-1], kind="stable")
+        budget = int(min(group["budget"].iloc[0], group["capacity"].sum()))
+        return group.assign(budget=fill(group["weight"].tolist(), group["capacity"].tolist(), budget))[[*path, "budget"]]
+
+    return share
+
+
+def plan_by_levels(leaves: DataFrame, levels: list[str], total: int | None) -> DataFrame:
+    """leaves with used and actual_share, planned level by level on the workers: for more sources than a driver should hold.
+
+    Each step shares the budgets of the nodes of one level among their
+    children, as Node.spend does; a task holds the children of one node.
+    """
+    spark = leaves.sparkSession
+    if total is None:
+        limit = leaves.where("target_share > 0 and capacity > 0").agg(F.min(F.col("capacity") / F.col("target_share"))).first()[0]
+        total = math.floor(limit + 1e-6) if limit is not None else 0
+    named = leaves.withColumns({f"_{c}": F.coalesce(F.col(c), F.lit("None")) for c in levels})
+    path = [f"_{c}" for c in levels]
+    room = leaves.agg(F.coalesce(F.sum("capacity"), F.lit(0))).first()[0]
+    budgets = spark.createDataFrame([(min(total, room),)], "budget bigint")
+    for depth in range(len(path) + 1):
+        above, child = path[:depth], path[depth] if depth < len(path) else "ds_name"
+        nodes = named.groupBy(*above, child).agg(F.sum("target_share").alias("weight"), F.sum("capacity").alias("capacity"))
+        given = nodes.join(budgets, above) if above else nodes.join(F.broadcast(budgets))
+
+        schema = ", ".join(f"{c} string" for c in [*above, child]) + ", budget bigint"
+        grouped = given.groupBy(*above) if above else given.groupBy("budget")
+        budgets = checkpointed(grouped.applyInPandas(_sharing([*above, child]), schema))
+    used = named.join(budgets, [*path, "ds_name"]).withColumn("used", F.col("budget")).drop("budget", *path)
+    total_used = used.agg(F.sum("used").alias("_all"))
+    return used.join(F.broadcast(total_used)).withColumn("actual_share", F.when(F.col("_all") > 0, F.col("used") / F.col("_all")).otherwise(F.lit(0.0))).drop("_all")
 
 
 def draw_mixture(records: DataFrame, plan: DataFrame, seed: int = SEED, by: Sequence[str] = ()) -> DataFrame:

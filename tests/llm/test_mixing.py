@@ -118,3 +118,15 @@ def test_query_by_language(spark, small):
         if any(r.used < r.capacity for r in leaves):
             assert sum(r.used for r in leaves) >= sum(r.target_share for r in leaves) * total - 1
     assert Counter((r.lang, r.ds_name) for r in p5_language_mix(spark, small).collect()) == {(r.lang, r.ds_name): r.used for r in rows if r.used}
+
+
+@pytest.mark.parametrize("total", [None, 0, 37, 300, 10_000])
+def test_plans_of_workers_and_driver_agree(spark, total):
+    r = random.Random(8)
+    names = [f"s{i}" for i in range(12)]
+    records = spark.createDataFrame([("t", i, r.choice(names[:10]), r.choice(["en", "de", None])) for i in range(400)], "tbl string, rec_id bigint, ds_name string, lang string")
+    targets = spark.createDataFrame([(n, r.random() / 6, r.randrange(1, 4)) for n in names] + [("S1 ", None, None)], "ds_name string, target_share double, max_repeats int")
+    groups = spark.createDataFrame([(n, r.choice(["x", "y"])) for n in names[:11]], "ds_name string, domain string")
+    for by in ((), ("lang",)):
+        plan = lambda bound: sorted(tuple(round(c, 9) if isinstance(c, float) else c for c in row) for row in plan_mixture(records, targets, groups, ["domain"], total, by, bound).fillna("").collect())  # noqa: E731, B023
+        assert plan(1) == plan(1000)
