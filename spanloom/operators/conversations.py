@@ -36,6 +36,27 @@ def normalize_raw(records: DataFrame) -> DataFrame:
     return made.where("question is not null and a is not null").select(*keys, "image", "bboxes", "question", X.wrap_answer(F.col("a")).alias("answer"))
 
 
+def normalize_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """As normalize_raw, from one row a turn (key, turn, role, text, image): (key, image, bboxes, question, answer).
+
+    The question and the answer are minima and maxima, so a conversation's
+    turns are combined before the shuffle; only its boxes are gathered.
+    """
+    said = F.coalesce("text", F.lit(""))
+    reply, box = F.col("role") == "gpt", X.is_box(said)
+    numbers = X.box_numbers(said)
+    words = X.strip(said)
+    spoken = reply & (words != "") & ~X.is_box(words)
+    made = turns.groupBy(key).agg(
+        F.min("image").alias("image"),
+        F.transform(F.array_sort(F.collect_list(F.when(reply & box & (F.size(numbers) == 4), F.struct("turn", numbers.alias("box"))))), lambda b: b["box"]).alias("bboxes"),
+        F.min_by(said, F.when(F.col("role") == "human", F.col("turn"))).alias("q"),
+        F.max_by(words, F.when(spoken, F.col("turn"))).alias("a"),
+    )
+    made = made.withColumn("question", F.when(F.col("q").isNotNull(), X.with_placeholder(X.strip(X.without_box_request(F.col("q"))))))
+    return made.where("question is not null and a is not null").select(key, "image", "bboxes", "question", X.wrap_answer(F.col("a")).alias("answer"))
+
+
 def normalize_files(records: DataFrame, by: str = "file") -> DataFrame:
     """(by, ord, image, bboxes, question, answer) of record files, each raw or normalised already, told by its first record.
 

@@ -62,8 +62,7 @@ def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_record_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = conversations.turns_to_records(turns(spark, sf_dir))
-    made = conversations.normalize_raw(records)
+    made = conversations.normalize_turns(turns(spark, sf_dir))
     return made.select("conv_id", "image", F.size("bboxes").alias("n_boxes"), F.round(F.get(F.get("bboxes", F.lit(0)), F.lit(2)), 6).alias("first_x1"), "question", "answer")
 
 

@@ -37,6 +37,13 @@ def test_records_and_manifest(spark, tmp_path):
         readers.read_sources(spark, str(tmp_path / "twice.json"))
 
 
+def test_turns_are_normalised_as_records(spark, small):
+    turns = conversations.one_delivery(spark.read.parquet(f"{small}/conversations.parquet"), ["conv_id", "turn"])
+    same = lambda df: sorted(map(repr, df.select("conv_id", "image", "bboxes", "question", "answer").collect()))
+    assert same(conversations.normalize_turns(turns)) == same(conversations.normalize_raw(conversations.turns_to_records(turns)))
+    assert conversations.normalize_turns(turns.limit(0)).count() == 0
+
+
 def test_files_are_normalised_as_their_first_record_says(spark, tmp_path):
     ready = [{"image": "r.jpg", "bboxes": [[0, 0, 1, 1]], "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"image": "s.jpg", "bboxes": [], "conversations": []}]
     for name, rows in (("raw", RAW), ("ready", ready)):
