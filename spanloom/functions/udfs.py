@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import udtf
 
+from ..sources.files import archive_members
+
 
 def predict(prompts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """(id, prediction array): a model's answers to (id, prompt), batch by batch.
@@ -53,10 +54,8 @@ class ArchiveIndex:
     """The members of a zip archive. Register with register_archive_index."""
 
     def eval(self, path: str) -> Iterator[tuple[str, int]]:
-        with zipfile.ZipFile(path) as archive:
-            for member in archive.infolist():
-                if not member.is_dir():
-                    yield member.filename, member.file_size
+        for _, member in archive_members(path):
+            yield member.filename, member.file_size
 
 
 def register_archive_index(spark: object) -> object:

@@ -152,8 +152,9 @@ def source_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.write(bytearray(_zip(_items(spark, sf_dir).where(F.pmod("item_id", F.lit(2)) == part).collect())))
         out.close()
     for _ in range(2):
-        members = spark.read.parquet(files.unpack_archives(spark, f"{folder}/zips", f"{folder}/members"))
-    return members.select(X.basename(F.col("archive")).alias("archive"), "name", "size", F.md5("content").alias("content"))
+        members = files.unpack_archives(spark, f"{folder}/zips", f"{folder}/unpacked")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/unpacked").select(F.regexp_extract("path", "/unpacked/(.*)$", 1).alias("name"), F.md5("content").alias("content"))
+    return members.join(found, "name").select(X.basename(F.col("archive")).alias("archive"), "name", "size", "content")
 
 
 def predicted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

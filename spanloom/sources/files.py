@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
+import shutil
 import zipfile
 from collections.abc import Iterator
 
@@ -50,7 +52,7 @@ def names_in(spark: SparkSession, folder: str, folders: bool) -> list[str]:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size) of every file below a folder; contents aren't read."""
+    """(path, size) of every file below a folder that isn't empty; contents aren't read. Names that begin with _ or . are hidden, as Spark has it."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"))
 
 
@@ -70,12 +72,24 @@ def first_folder(spark: SparkSession, folder: str, name: str) -> str | None:
     return list_files(spark, folder).select(inside.alias("found")).where("found <> ''").agg(F.min("found")).first()[0]
 
 
-def _open(path: str) -> object:
-    """A stream of bytes; paths without a scheme are local."""
+def _system(path: str) -> tuple[object, str]:
+    """(file system, path in it) for a worker; paths without a scheme are local, or on a disk that all share."""
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-    return system.open_input_stream(place)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def open_file(path: str) -> object:
+    """A file to read from any position."""
+    system, place = _system(path)
+    return system.open_input_file(place)
+
+
+def open_output(path: str) -> object:
+    """A file to write, with the folders above it."""
+    system, place = _system(path)
+    system.create_dir(posixpath.dirname(place), recursive=True)
+    return system.open_output_stream(place)
 
 
 def elements(stream: object, chunk: int = CHUNK) -> Iterator[str]:
@@ -112,7 +126,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
             ords, texts = [], []
-            with _open(path) as stream:
+            with open_file(path) as stream:
                 for n, text in enumerate(elements(stream)):
                     ords.append(n)
                     texts.append(text)
@@ -133,32 +147,42 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
     return files.repartition(max(1, min(files.count(), 10_000))).mapInArrow(_split, "file string, ord bigint, element string")
 
 
-class ArchiveMembers:
-    """Members of zip archives given by path: name, size and content."""
-
-    def eval(self, path: str) -> Iterator[tuple[str, int, bytes]]:
-        with _open(path) as stream, zipfile.ZipFile(io.BytesIO(stream.read())) as archive:
-            for member in archive.infolist():
-                if not member.is_dir():
-                    yield member.filename, member.file_size, archive.read(member)
+def archive_members(path: str) -> Iterator[tuple[zipfile.ZipFile, zipfile.ZipInfo]]:
+    """The files of a zip archive, with the open archive; only what is asked for is read."""
+    with open_file(path) as stream, zipfile.ZipFile(stream) as archive:
+        for member in archive.infolist():
+            if not member.is_dir():
+                yield archive, member
 
 
-def unpack_archives(spark: SparkSession, source: str, target: str) -> str:
-    """Every member of every zip archive below source as a row (archive, name, size, content) of a table at target, once.
-
-    The archives are unpacked where they are read, an archive to a task. The
-    table's _SUCCESS marks that it is whole, so a second call does nothing.
+def _extract(batches: Iterator[pa.RecordBatch], target: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            names, sizes = [], []
+            for archive, member in archive_members(path):
+                name = posixpath.normpath(member.filename)
+                if name.startswith(("/", "../")):
+                    raise ValueError(f"{path}: {member.filename} leads out of the target")
+                with archive.open(member) as packed, open_output(f"{target}/{name}") as out:
+                    shutil.copyfileobj(packed, out, CHUNK)
+                names.append(name)
+                sizes.append(member.file_size)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["archive", "name", "size"])
+
+
+def unpack_archives(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """(archive, name, size) of every file of every zip archive below source, unpacked into target, once.
+
+    Each archive is a task that copies its files in chunks, so neither archives
+    nor files have to fit into memory; a repeated task writes the same files
+    again. The list lies in target as a table whose _SUCCESS marks that all is
+    unpacked, so a second call unpacks nothing. A name that leads out of the
+    target is refused.
     """
     ship(spark)
-    if not exists(spark, f"{target}/_SUCCESS"):
+    listed = f"{target}/_members"
+    if not exists(spark, f"{listed}/_SUCCESS"):
         archives = list_files(spark, source).where(F.endswith("path", F.lit(".zip"))).select("path")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for path in batch.column(0).to_pylist():
-                    for name, size, content in ArchiveMembers().eval(path):
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([size]), pa.array([content], pa.binary())], ["archive", "name", "size", "content"])
-
-        spread = archives.repartition(max(1, min(archives.count(), 10_000)))
-        spread.mapInArrow(run, "archive string, name string, size bigint, content binary").write.mode("overwrite").parquet(target)
-    return target
+        apart = archives.repartition(max(1, min(archives.count(), 10_000)))
+        apart.mapInArrow(lambda batches: _extract(batches, target), "archive string, name string, size bigint").write.mode("overwrite").parquet(listed)
+    return spark.read.parquet(listed)

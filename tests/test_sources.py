@@ -118,11 +118,17 @@ def test_archives(spark, tmp_path):
         z.writestr("in/v.mp4", b"xx")
         z.writestr("in/empty", b"")
     target = str(tmp_path / "t")
-    members = spark.read.parquet(files.unpack_archives(spark, str(tmp_path / "s"), target))
-    assert sorted((r.name, r.size, bytes(r.content)) for r in members.collect()) == [("in/empty", 0, b""), ("in/v.mp4", 2, b"xx")]
-    before = sorted(p.name for p in (tmp_path / "t").iterdir())
-    files.unpack_archives(spark, str(tmp_path / "s"), target)
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == before
+    for _ in range(2):
+        members = files.unpack_archives(spark, str(tmp_path / "s"), target)
+        assert sorted((r.name, r.size) for r in members.collect()) == [("in/empty", 0), ("in/v.mp4", 2)]
+    assert (tmp_path / "t" / "in" / "v.mp4").read_bytes() == b"xx" and (tmp_path / "t" / "in" / "empty").read_bytes() == b""
+    assert sorted(r.path.removeprefix(target) for r in files.list_files(spark, target).collect()) == ["/in/v.mp4"]
+    (tmp_path / "bad").mkdir()
+    with zipfile.ZipFile(tmp_path / "bad" / "b.zip", "w") as z:
+        z.writestr("../out.txt", b"x")
+    with pytest.raises(Exception, match="leads out"):
+        files.unpack_archives(spark, str(tmp_path / "bad"), str(tmp_path / "u"))
+    assert not (tmp_path / "out.txt").exists()
     assert files.first_file(spark, str(tmp_path), ".none", ".zip").endswith("s/a.zip") and files.first_file(spark, str(tmp_path), ".x") is None
     assert files.first_folder(spark, str(tmp_path), "s").endswith("/s") and files.first_folder(spark, str(tmp_path), "nowhere") is None
     register_archive_index(spark)
