@@ -129,7 +129,7 @@ def test_archives(spark, tmp_path):
     with pytest.raises(Exception, match="leads out"):
         files.unpack_archives(spark, str(tmp_path / "bad"), str(tmp_path / "u"))
     assert not (tmp_path / "out.txt").exists()
-    assert files.first_file(spark, str(tmp_path), ".none", ".zip").endswith("s/a.zip") and files.first_file(spark, str(tmp_path), ".x") is None
+    assert files.first_file(spark, str(tmp_path / "s"), ".none", ".zip").endswith("s/a.zip") and files.first_file(spark, str(tmp_path), ".x") is None
     assert files.first_folder(spark, str(tmp_path), "s").endswith("/s") and files.first_folder(spark, str(tmp_path), "nowhere") is None
     register_archive_index(spark)
     assert sorted(tuple(r) for r in spark.sql(f"SELECT * FROM archive_index('{tmp_path}/s/a.zip')").collect()) == [("in/empty", 0), ("in/v.mp4", 2)]
