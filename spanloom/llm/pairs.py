@@ -163,6 +163,8 @@ def tail_of(text: str) -> tuple[str, list[str]] | None:
         return "cut", TOKEN.findall(ended.lower())[-3:]
     if not ended:
         return None
+    if any(ended.count(a) > ended.count(b) for a, b in ("[]", "()")) and re.fullmatch(r"[][()\d\s.,;eE+\-]*\d[\s.,;]*", ended):
+        return "cut", TOKEN.findall(ended)[-3:]  # a list of numbers left open
     stopped = ended[-1] in ".。"
     if not stopped and _TERMINAL.search(ended):
         return None

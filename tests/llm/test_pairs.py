@@ -57,6 +57,12 @@ Q = "What does the cyclist do with the old umbrella?"
         ('The sign reads "Bitte nicht stören" in red letters.', None),
         ("He lifts it for two reasons: first,", "truncated"),
         ('The card carries the words "folded', "truncated"),
+        ("[0.1, 0.2, 0.3,", "truncated"),
+        ("<answer> [0.1, 0.2, 0.3, 0. </answer>", "truncated"),
+        ("(0.1, 0.2", "truncated"),
+        ("[[0.1, 0.2, 0.3, 0.4], [0.1, 0.2", "truncated"),
+        ("(3", "truncated"),
+        ("3) 4", None),
         ("The cyclist lifts the umbrella.", None),
     ],
 )
