@@ -61,6 +61,8 @@ _DOTS = re.compile(r"(?:\.\s*){2,}\Z|…+\Z|(?<=。)\s*\.+\Z")
 _DANGLING = re.compile(r"[,;:、，；：(\[“„«\-–—/&]\Z")
 _NOISE = re.compile(r"[^\w.,:;?!。？！，、；：\"'”’»)\]…\-–—(\[“„«/&%]+\Z")
 _LIST_END = re.compile(r"(?:\A|\s)(\d{1,2})[.)]\s*\Z")
+_ENGLISH = " the "
+_QUOTED_OR_WIDE = re.compile(r"[^\x00-\x7f]|\"")
 _APOSTROPHE = re.compile(r"['’ʼ]")
 
 
@@ -138,6 +140,8 @@ def is_foreign(prompt: str, text: str) -> bool:
     """Whether a bare reply is in another language than the prompt, which asks for none."""
     if text.isascii() and text.count(" ") < 3 and len(text.split()) < 4:
         return False  # too little of it to tell
+    if _ENGLISH in text and _ENGLISH in prompt and not _QUOTED_OR_WIDE.search(text):
+        return False  # the most frequent case, told without counting
     fold = unicodedata.normalize
     return same_language(fold("NFKC", unquoted(prompt)), fold("NFKC", unquoted(text))) is False and not ASKED.search(prompt)
 
