@@ -286,33 +286,43 @@ def broken_pairs(pairs: DataFrame, replies: DataFrame) -> DataFrame:
     return first.where(F.col("defect").isNotNull()).select("tbl", "rec_id", "turn", "defect").unionByName(late)
 
 
+def _latest(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """Of rows delivered again the latest. The rows stay in the order of their keys, which windows over them use."""
+    order = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in ("loaded_at", *values)))
+    return df.select(*keys, "loaded_at", *values).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*keys, *values)
+
+
 def record_pairs(videos: DataFrame) -> DataFrame:
     """Question and answer of each rec_id; of a record delivered again, the latest delivery."""
-    latest = keyed(videos, "rec_id").groupBy("rec_id").agg(F.max(F.struct("loaded_at", "question", "answer")).alias("r"))
-    return latest.select(F.lit("video_records").alias("tbl"), "rec_id", F.lit(0).cast("bigint").alias("turn"), F.col("r.question").alias("prompt"), F.col("r.answer").alias("reply"))
+    latest = _latest(keyed(videos, "rec_id"), ["rec_id"], "question", "answer")
+    return latest.select(F.lit("video_records").alias("tbl"), "rec_id", F.lit(0).cast("bigint").alias("turn"), F.col("question").alias("prompt"), F.col("answer").alias("reply"))
 
 
-def conversation_pairs(turns: DataFrame) -> DataFrame:
+def conversation_pairs(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each asking turn with the replying turn numbered next; a prompt of markers alone takes the question before it.
 
     A conversation is looked at in blocks of turns, so a very long one is no
-    single task; what a block needs of its neighbours comes from one row each.
+    single task; what a block needs of its neighbours comes from one row each,
+    and only conversations of several blocks have such rows.
     """
-    blocks = keyed(turns.withColumn("block", F.floor(F.col("turn") / BLOCK)), "conv_id", "block")
-    latest = blocks.groupBy("conv_id", "block", "turn").agg(F.max(F.struct("loaded_at", "role", "text")).alias("t"))
-    latest = latest.select("conv_id", "turn", "block", "t.role", "t.text")
+    parted = turns.withColumn("block", F.floor(F.col("turn") / block))
     asks = F.col("role").isin(*ASKING)
     marked = F.regexp_replace("text", r"(?iU)<image>|\s+", "")
     question = F.when(asks & (F.length(marked) > 0), F.col("text"))
+
+    def latest(df: DataFrame) -> DataFrame:
+        return _latest(keyed(df, "conv_id", "block"), ["conv_id", "block", "turn"], "role", "text")
+
     inside = Window.partitionBy("conv_id", "block").orderBy("turn")
     follow = F.struct(F.lead("turn").over(inside).alias("turn"), F.lead("role").over(inside).alias("role"), F.lead("text").over(inside).alias("text"))
-    rows = latest.select("conv_id", "turn", "block", "role", "text", F.last(question, ignorenulls=True).over(inside).alias("asked"), follow.alias("next"))
+    rows = latest(parted).select("conv_id", "turn", "block", "role", "text", F.last(question, ignorenulls=True).over(inside).alias("asked"), follow.alias("next"))
 
-    edges = latest.groupBy("conv_id", "block").agg(F.max_by(question, F.when(question.isNotNull(), F.col("turn"))).alias("last_asked"), F.min_by(F.struct("turn", "role", "text"), "turn").alias("head"), F.count(F.lit(1)).alias("n"), F.max("turn").alias("top"))
-    edges = edges.where((F.col("block") != 0) | (F.col("top") >= BLOCK - 1))
+    long = turns.where(F.col("turn") >= block - 1).select("conv_id").distinct()
+    of_long = latest(parted.join(maybe_broadcast(long, BROADCAST_ROWS), "conv_id", "left_semi"))
+    edges = of_long.groupBy("conv_id", "block").agg(F.max_by(question, F.when(question.isNotNull(), F.col("turn"))).alias("last_asked"), F.min_by(F.struct("turn", "role", "text"), "turn").alias("head"))
     by_conv = Window.partitionBy("conv_id").orderBy("block")
     edges = edges.select("conv_id", "block", F.last("last_asked", ignorenulls=True).over(by_conv.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("head").over(by_conv).alias("after"))
-    full = rows.where(asks).join(edges, ["conv_id", "block"], "left")
+    full = rows.where(asks).join(maybe_broadcast(edges, BROADCAST_ROWS), ["conv_id", "block"], "left")
     following = F.when(F.col("next.turn").isNotNull(), F.col("next")).otherwise(F.col("after"))
     replied = (following["turn"] == F.col("turn") + 1) & following["role"].isin(*REPLYING)
     return full.select(F.lit("conversations").alias("tbl"), F.col("conv_id").alias("rec_id"), "turn", F.coalesce("asked", "before").alias("prompt"), F.when(replied, following["text"]).alias("reply"))

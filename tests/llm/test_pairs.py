@@ -150,6 +150,8 @@ def test_pairing(spark):
     df = spark.createDataFrame([(*r, t, "x") for r in turns], "conv_id bigint, turn bigint, role string, text string, loaded_at timestamp, block string")
     got = sorted(((r.rec_id, r.turn, r.prompt, r.reply) for r in conversation_pairs(df).collect()), key=repr)
     assert got == sorted([(1, 1, "q1", "a1"), (1, 3, "q1", "a2"), (1, 5, "q2", None), (2, 0, "q", None), (3, 0, None, "a"), (4, 4095, "edge", "over"), (4, 4097, "edge", "more")], key=repr)
+    for block in (1, 2, 3):
+        assert sorted(((r.rec_id, r.turn, r.prompt, r.reply) for r in conversation_pairs(df, block).collect()), key=repr) == got
     records = spark.createDataFrame([(1, "q", "old", t), (1, "q", "new", t + datetime.timedelta(1)), (2, None, None, None)], "rec_id bigint, question string, answer string, loaded_at timestamp")
     assert sorted((r.rec_id, r.prompt, r.reply) for r in record_pairs(records).collect()) == [(1, "q", "new"), (2, None, None)]
 
