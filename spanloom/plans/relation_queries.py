@@ -196,6 +196,16 @@ def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_statistics(pack_first_fit(spark, sf_dir), LIMITS.max_tokens)
 
 
+def pack_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples all long enough to stand alone: whole packs in order of arrival, longer ones cut."""
+    return packing.pack_first_fit(samples(spark, sf_dir), packing.Limits(max_tokens=64, long_threshold=1))
+
+
+def pack_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of one length, of which two fill a pack's number of instances: first fit pairs them in order of arrival."""
+    return packing.pack_first_fit(samples(spark, sf_dir).withColumn("n_tokens", F.lit(10)), packing.Limits(max_tokens=100, max_instances=2, long_threshold=50, max_buffers=10))
+
+
 def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes in comes out: samples and tokens of each shard after packing, cut samples at their length."""
     packed = pack_first_fit(spark, sf_dir)
@@ -276,6 +286,8 @@ QUERIES = {
     "pack_first_fit": pack_first_fit,
     "pack_stats": pack_stats,
     "pack_totals": pack_totals,
+    "pack_alone": pack_alone,
+    "pack_pairs": pack_pairs,
     "crop_metrics": crop_metrics,
     "samples_drawn": samples_drawn,
     "array_sink": array_sink,
@@ -338,4 +350,8 @@ FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM {_IDS} i
     "metrics_sink": f"SELECT 'videomme' AS benchmark, 4 AS steps, CAST(sum(ok) AS BIGINT) AS correct, count(*) AS total, round(sum(ok) / count(*), 6) AS accuracy FROM ({JUDGED}) j",
     "stream_metrics": "SELECT l_orderkey // 64 AS step, count(*) AS n_micro, round(avg(l_discount), 6) AS loss_ce FROM lineitem GROUP BY l_orderkey // 64",
 }
+_SHARD = f"CAST(doc_id % greatest({SHARDS}, (SELECT (count(*) + 49999) // 50000 FROM documents)) AS INTEGER)"
+_PLACED = f"(SELECT doc_id, greatest(1, coalesce(length(text), 0) // 4) AS n, {_SHARD} AS shard, row_number() OVER (PARTITION BY {_SHARD} ORDER BY doc_id) - 1 AS place FROM documents)"
+ORACLE["pack_alone"] = f"SELECT shard, place AS pack_id, 0 AS instance_ord, doc_id AS id, least(n, 64) AS n_tokens, CASE WHEN n > 64 THEN 'truncated' ELSE 'packed' END AS status FROM {_PLACED} p"
+ORACLE["pack_pairs"] = f"SELECT shard, place // 2 AS pack_id, CAST(place % 2 AS INTEGER) AS instance_ord, doc_id AS id, CAST(10 AS BIGINT) AS n_tokens, 'packed' AS status FROM {_PLACED} p"
 ORACLE["samples_drawn"] = f"SELECT ds_name, count(*) AS n_drawn FROM ({ORACLE['weighted_draw']}) d GROUP BY ds_name"
