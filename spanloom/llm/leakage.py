@@ -40,6 +40,7 @@ EDITED_SHARE = 0.6
 CELLS = 1 << 19
 
 _WORD = re.compile(r"[^\W_]+")
+_FORMAT = frozenset(c for part in (range(0x20000), range(0xE0000, 0xE0080)) for c in map(chr, part) if unicodedata.category(c) == "Cf")
 _SENTENCE_END = re.compile(r"[.?!]+")
 
 
@@ -47,7 +48,8 @@ def fold(text: str) -> str:
     """NFKC, without format characters, lower case."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        if not _FORMAT.isdisjoint(text):
+            text = "".join(c for c in text if c not in _FORMAT)
     return text.lower()
 
 
