@@ -44,7 +44,8 @@ _ADDRESS = re.compile(r"(?:https?://|www\.)[^\s<>\"'|，、；]++|(?<![\w.+\-])[
 _MARK = "\ue000"
 _MARKUP = re.compile(r"<[/|]?[A-Za-z_][\w|\-]*/?>")
 _BREAK = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]|<br\s*/?>|</?(?:p|li|ul|ol|div|td|tr)\s*>", re.IGNORECASE)
-_ENDS = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"'”’»)\]])\s+|(?<=[。！？])")
+_ENDS = re.compile(r"[.!?…][\"'”’»)\]]?\s+|[。！？]")
+_CLOSING = frozenset(".!?…。！？\"'”’»)]")
 _TERMINAL = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*\Z")
 _SEPARATOR = regex.compile(r"\s*(?:[^\p{L}\p{M}\p{N}\s'’\-.%&+()_:\"“”$€£@!?]+|\s[-–—:]+\s)\s*")
 _GAPS = re.compile(r"\t+| {2,}")
@@ -116,25 +117,34 @@ def _units(piece: str) -> list[str]:
     return wide if len(wide) * 2 > _size(piece) else [w.casefold() for w in _words(piece)]
 
 
-def _is_sentence(piece: str) -> bool:
-    """Whether a piece ends like a sentence and isn't a list with a full stop."""
-    if not _TERMINAL.search(piece):
+def _sentences(line: str) -> list[str]:
+    """A line cut after its sentence ends."""
+    out, at = [], 0
+    for found in _ENDS.finditer(line):
+        out.append(line[at : found.end()])
+        at = found.end()
+    out.append(line[at:])
+    return out
+
+
+def _is_sentence(piece: str, parts: list[str]) -> bool:
+    """Whether a piece, also given cut at blanks, ends like a sentence and isn't a list with a full stop."""
+    if not parts or parts[-1][-1] not in _CLOSING or not _TERMINAL.search(piece):
         return False
     if piece.isascii():
-        if len(piece.split()) < 4:
+        if len(parts) < 4:
             return False
+        if piece.count(",") + piece.count(";") + piece.count("|") + piece.count("/") < 4:
+            return True
     elif len(_words(piece)) < 4 and len(_WIDE.findall(piece)) < 6:
         return False
-    if piece.isascii() and piece.count(",") + piece.count(";") + piece.count("|") + piece.count("/") < 4:
-        return True
     cells = [c for c in _SEPARATOR.split(piece) if c]
     return len(cells) < 5 or sum(max(len(_words(c)), len(_WIDE.findall(c)) / 2) for c in cells) / len(cells) > 3
 
 
-def _is_fresh(piece: str) -> bool:
+def _is_fresh(piece: str, parts: list[str]) -> bool:
     """Whether the words between a sentence's blanks differ so much that no phrase of it can recur; a quick look at most sentences."""
-    low = piece.lower().split()
-    return piece.isascii() and len(set(low)) > len(low) * FRESH_WORDS
+    return piece.isascii() and len({p.lower() for p in parts}) > len(parts) * FRESH_WORDS
 
 
 def _repeats_itself(units: list[str], times: int = 2) -> bool:
@@ -196,14 +206,17 @@ def listing_share(text: str) -> tuple[float, int, int, int]:
         if code or _CODE.match(line):
             total += _size(line) - line.count(_MARK) + sum(next(link_sizes) for _ in range(line.count(_MARK)))
             continue
-        for piece in _ENDS.split(line):
-            n_links = piece.count(_MARK)
-            size = _size(piece) - n_links + sum(next(link_sizes) for _ in range(n_links))
+        for piece in _sentences(line):
+            n_links = piece.count(_MARK) if links else 0
+            parts = piece.split()
+            size = sum(map(len, parts))
+            if n_links:
+                size += sum(next(link_sizes) for _ in range(n_links)) - n_links
             total += size
             if not size:
                 continue
-            if not n_links and _is_sentence(piece):
-                if not _is_fresh(piece) and _repeats_itself(units := _units(piece)):
+            if not n_links and _is_sentence(piece, parts):
+                if not _is_fresh(piece, parts) and _repeats_itself(units := _units(piece)):
                     stuffed.append((units, size))
                 else:
                     sentences.append((piece, size))
@@ -213,7 +226,7 @@ def listing_share(text: str) -> tuple[float, int, int, int]:
             if n_links and len(own) <= PIECE_WORDS * n_links:
                 pieces += [(f"{min(len(own) // n_links, PIECE_WORDS)}@", size // n_links)] * n_links
                 continue
-            if n_links and _is_sentence(piece):
+            if n_links and _is_sentence(piece, parts):
                 continue
             cells = _cells(piece)
             counts = [max(len(_words(c)), (len(_WIDE.findall(c)) + 1) // 2 if _WIDE.search(c) else 0) for c in cells]
