@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ _WIDE = "぀-ヿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+")
 _MARKED_TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+|[.!?。！？…]+")
 #: Format characters, which part no words.
-_FORMAT = re.compile("[" + "".join(chr(i) for part in (range(0x20000), range(0xE0000, 0xE0080)) for i in part if unicodedata.category(chr(i)) == "Cf") + "]+")
+_FORMAT = regex.compile(r"\p{Cf}+")
 _END, _DOTS, _REPLY = 0, 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CODES: dict[str, int] = {}
