@@ -24,6 +24,8 @@ BROADCAST_ROWS = 1_000_000
 
 _WIDE = "぀-ヿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+")
+_ASCII_TOKEN = re.compile(r"[A-Za-z0-9]+")
+_ASCII_MARKED_TOKEN = re.compile(r"[A-Za-z0-9]+|[.!?]+")
 _MARKED_TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+|[.!?。！？…]+")
 #: Format characters, which part no words.
 _FORMAT = regex.compile(r"\p{Cf}+")
@@ -37,6 +39,11 @@ def folded(text: str) -> str:
     return text if text.isascii() else _FORMAT.sub("", unicodedata.normalize("NFKC", text))
 
 
+def find_tokens(text: str) -> list[str]:
+    """The words of a text, single characters of scripts written without blanks."""
+    return (_ASCII_TOKEN if text.isascii() else TOKEN).findall(text)
+
+
 def code(word: str) -> int:
     """A word's code; the lowest numbers mark ends."""
     found = _CODES.get(word)
@@ -57,7 +64,8 @@ def gram_code(words: list[str]) -> int:
 
 def _codes(reply: str) -> list[int]:
     out = []
-    for w in _MARKED_TOKEN.findall(folded(reply)):
+    text = folded(reply)
+    for w in (_ASCII_MARKED_TOKEN if text.isascii() else _MARKED_TOKEN).findall(text):
         if w[0] in ".!?。！？…":
             out.append(_DOTS if w.startswith("..") or "…" in w else _END)
         else:

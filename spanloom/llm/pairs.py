@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, keyed, maybe_broadcast, spread
-from .endings import TOKEN, count_endings, folded, gram_code, longest_rivals
+from .endings import count_endings, find_tokens, folded, gram_code, longest_rivals
 from .languages import ASKED, same_language, unquoted
 from .refusals import is_refusal_text
 
@@ -67,7 +67,7 @@ _APOSTROPHE = re.compile(r"['’ʼ]")
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(_APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower())
+    return find_tokens(_APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower())
 
 
 def bare(reply: str) -> str:
@@ -164,21 +164,21 @@ def tail_of(text: str) -> tuple[str, list[str]] | None:
             return None
     item = _LIST_END.search(ended, max(0, len(ended) - 8)) if ended[-1:] in (".", ")") else None
     if item and re.search(rf"(?:\A|\s){int(item[1]) - 1}[.)]\s+\w", ended):
-        return "cut", TOKEN.findall(ended.lower())[-3:]
+        return "cut", find_tokens(ended.lower())[-3:]
     if not ended:
         return None
     if any(ended.count(a) > ended.count(b) for a, b in ("[]", "()")) and re.fullmatch(r"[][()\d\s.,;eE+\-]*\d[\s.,;]*", ended):
-        return "cut", TOKEN.findall(ended)[-3:]  # a list of numbers left open
+        return "cut", find_tokens(ended)[-3:]  # a list of numbers left open
     stopped = ended[-1] in ".。"
     if not stopped and _TERMINAL.search(ended):
         return None
     sentence = _last_sentence(ended)
-    last = TOKEN.findall(sentence.lower())
+    last = find_tokens(sentence.lower())
     if not any(map(str.isalpha, "".join(last))):
         return None
     if stopped:
         return ("stopped", last[-3:]) if len(last) > 1 else None
-    words = TOKEN.findall(ended.lower())
+    words = find_tokens(ended.lower())
     if _DANGLING.search(ended) and len(words) > 1:
         return "cut", words[-3:]
     quotes = ended.count('"') % 2 or ended.count("“") > ended.count("”") or ended.count("(") > ended.count(")")

@@ -56,11 +56,13 @@ SHORT_SKIPPED = {"MA": 3, "LE": 1, "PM": 1, "ZG": 1, "QD": 2}
 
 _WIDE = "぀-ヿ㐀-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_WIDE}]|[^\W_{_WIDE}]+|[.!?。！？;；]+")
+_ASCII_TOKEN = re.compile(r"[a-z0-9]+|[.!?;]+")
 _APOSTROPHE = re.compile(r"['’ʼ]")
 
 
 def _tokens(text: str) -> list[str]:
-    return _TOKEN.findall(_APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower())
+    plain = _APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower()
+    return (_ASCII_TOKEN if plain.isascii() else _TOKEN).findall(plain)
 
 
 _SLOTS = ahocorasick.Automaton()
