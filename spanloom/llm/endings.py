@@ -58,8 +58,24 @@ def gram_code(words: list[str]) -> int:
     """The code of one to three words in order, as a signed integer."""
     total = 0
     for w in words:
-        total = (total * int(_BASE) + code(w)) & 0xFFFFFFFFFFFFFFFF
-    return total - (1 << 64) if total >> 63 else total
+        total = total * int(_BASE) + code(w)
+    return _signed(total)
+
+
+def tail_codes(words: list[str]) -> tuple[int, int | None, int | None, int | None]:
+    """The codes of the last word, of the one before it, of both, and of the last three; None for what there are too few words for."""
+    *before, last = map(code, words)
+    if not before:
+        return _signed(last), None, None, None
+    base = int(_BASE)
+    two = before[-1] * base + last
+    three = _signed(before[-2] * base * base + two) if len(before) > 1 else None
+    return _signed(last), _signed(before[-1]), _signed(two), three
+
+
+def _signed(number: int) -> int:
+    number &= 0xFFFFFFFFFFFFFFFF
+    return number - (1 << 64) if number >> 63 else number
 
 
 def _codes(reply: str) -> list[int]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, keyed, maybe_broadcast, spread
-from .endings import count_endings, find_tokens, folded, gram_code, longest_rivals
+from .endings import count_endings, find_tokens, folded, longest_rivals, tail_codes
 from .languages import ASKED, same_language, unquoted
 from .refusals import is_refusal_text
 
@@ -61,13 +61,15 @@ _DOTS = re.compile(r"(?:\.\s*){2,}\Z|…+\Z|(?<=。)\s*\.+\Z")
 _DANGLING = re.compile(r"[,;:、，；：(\[“„«\-–—/&]\Z")
 _NOISE = re.compile(r"[^\w.,:;?!。？！，、；：\"'”’»)\]…\-–—(\[“„«/&%]+\Z")
 _LIST_END = re.compile(r"(?:\A|\s)(\d{1,2})[.)]\s*\Z")
+_ASCII_INVISIBLE = re.compile(r"[^A-Za-z0-9$+<=>|~]+")
 _ENGLISH = " the "
 _QUOTED_OR_WIDE = re.compile(r"[^\x00-\x7f]|\"")
 _APOSTROPHE = re.compile(r"['’ʼ]")
 
 
 def tokens(text: str) -> list[str]:
-    return find_tokens(_APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower())
+    plain = text.replace("'", " ") if text.isascii() else _APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text))
+    return find_tokens(plain.lower())
 
 
 def bare(reply: str) -> str:
@@ -87,6 +89,9 @@ def is_empty(text: str) -> bool:
     """Whether nothing but blanks, punctuation or a stand-in for nothing is left of a bare reply."""
     if len(text) > 20 and sum(map(str.isalnum, text[:60])) > 20:
         return False  # what stands for nothing is shorter
+    if text.isascii():
+        visible = _ASCII_INVISIBLE.sub("", text)
+        return not visible or len(visible) <= 20 and visible not in ("None", "none") and (" ".join(tokens(text)) in STAND_INS or visible.lower() in STAND_INS)
     visible = "".join(c for c in text if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("Sc", "Sm", "So"))
     if not visible or all(unicodedata.category(c) == "So" for c in visible):
         return not any(unicodedata.category(c) == "So" for c in visible)
@@ -232,8 +237,7 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if defect:
                 out.append((tbl, rec, turn, defect, None, None, None, None, None, None))
             elif state:
-                two = len(tail) > 1
-                out.append((tbl, rec, turn, None, state, tail[-1], gram_code(tail[-1:]), gram_code(tail[-2:-1]) if two else None, gram_code(tail[-2:]) if two else None, gram_code(tail) if len(tail) > 2 else None))
+                out.append((tbl, rec, turn, None, state, tail[-1], *tail_codes(tail)))
         cells = list(zip(*out, strict=True)) or [()] * len(_JUDGED_ARROW)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _JUDGED_ARROW, strict=True)], schema=_JUDGED_ARROW)
 

@@ -61,7 +61,7 @@ _APOSTROPHE = re.compile(r"['’ʼ]")
 
 
 def _tokens(text: str) -> list[str]:
-    plain = _APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text)).lower()
+    plain = (text.replace("'", " ") if text.isascii() else _APOSTROPHE.sub(" ", unicodedata.normalize("NFKC", text))).lower()
     return (_ASCII_TOKEN if plain.isascii() else _TOKEN).findall(plain)
 
 

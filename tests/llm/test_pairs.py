@@ -2,7 +2,7 @@ import datetime
 
 import pytest
 
-from spanloom.llm.endings import count_endings, gram_code, longest_rivals
+from spanloom.llm.endings import count_endings, gram_code, longest_rivals, tail_codes
 from spanloom.llm.languages import same_language
 from spanloom.llm.pairs import broken_pairs, conversation_pairs, is_copy, is_empty, is_refusal, judge, lcs, record_pairs, tail_of
 
@@ -130,6 +130,12 @@ def test_counts_of_endings(spark):
     assert len(got) == 6  # the, cup, falls, a and the two asked for
 
 
+def test_codes_of_tails():
+    for words in (["a"], ["a", "b"], ["the", "old", "cup"]):
+        parts = (words[-1:], words[-2:-1], words[-2:] if len(words) > 1 else [], words if len(words) > 2 else [])
+        assert tail_codes(words) == tuple(gram_code(p) if p else None for p in parts)
+
+
 def test_rivals(spark):
     words = spark.createDataFrame([("turn", 3), ("turns", 9), ("turned", 12), ("cup", 8), ("x" * 5000, 1)], "word string, n bigint")
     rare = spark.createDataFrame([("turn",), ("tur",), ("cup",)], "g1 string")
