@@ -95,7 +95,7 @@ def open_output(path: str) -> object:
 def elements(stream: object, chunk: int = CHUNK) -> Iterator[str]:
     """The texts of the elements of a JSON array, one after another; what is held is an element and a chunk."""
     reader = io.TextIOWrapper(stream, encoding="utf-8")
-    decoder, blanks = json.JSONDecoder(), re.compile(r"[\s,]*")
+    decoder, blanks, space = json.JSONDecoder(), re.compile(r"[\s,]*"), re.compile(r"\s*")
     text, at, begun, more = "", 0, False, chunk
     while True:
         at = blanks.match(text, at).end()
@@ -110,7 +110,7 @@ def elements(stream: object, chunk: int = CHUNK) -> Iterator[str]:
             if at >= len(text):
                 raise ValueError("cut")
             _, end = decoder.raw_decode(text, at)
-            if end == len(text):  # a number may go on
+            if text[(after := space.match(text, end).end()) : after + 1] not in (",", "]"):  # a number may go on, as in 1.5 or 1e5
                 raise ValueError("cut")
         except ValueError as e:
             read = reader.read(more)

@@ -57,14 +57,20 @@ def test_files_are_normalised_as_their_first_record_says(spark, tmp_path):
 values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=12)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(values, max_size=8), st.integers(1, 40), st.booleans())
 def test_elements_of_an_array(rows, chunk, spaced):
     text = json.dumps(rows, ensure_ascii=False, indent=2 if spaced else None)
     assert [json.loads(e) for e in files.elements(io.BytesIO(text.encode("utf-8", "surrogatepass") if text.isascii() else text.encode()), chunk)] == rows
 
 
-@pytest.mark.parametrize("text", ["", "  ", "{}", "[1, 2", '["a', "[1,, x]"])
+@pytest.mark.parametrize("chunk", [1, 2, 3])
+def test_numbers_that_go_on(chunk):
+    rows = [1.5, -2e5, 1e-7, 10, 0.25, "a,b]", [1.5], {"a": 2.5}, True, None]
+    assert [json.loads(e) for e in files.elements(io.BytesIO(json.dumps(rows).encode()), chunk)] == rows
+
+
+@pytest.mark.parametrize("text", ["", "  ", "{}", "[1 2]", "[1, 2", '["a', "[1,, x]"])
 def test_broken_arrays(text):
     with pytest.raises(ValueError):
         list(files.elements(io.BytesIO(text.encode()), 3))
