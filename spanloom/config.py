@@ -26,6 +26,12 @@ FRAME_STEP = 2
 LEAST_FRAMES = 4
 FRAME_TOKENS = 768
 
+#: Names of benchmark files and folders.
+FOUR_OPTION_FILE = "hr_bench_{}.parquet"
+URL_KEYED_FILE = "test-00000-of-00001.parquet"
+TASK_FOLDER = "json"
+ASSETS_FOLDER = "assets"
+
 #: Endings of files that are no videos.
 NON_VIDEO_ENDINGS = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tiff", ".tif", ".gif", ".json", ".txt", ".md", ".csv", ".tsv", ".srt", ".vtt", ".ass", ".npy", ".npz", ".pt", ".pth", ".pkl", ".bin", ".parquet", ".zip", ".tar", ".gz", ".log", ".yaml", ".yml", ".html", ".lock")
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import text as X
 from ..functions.udfs import predict
 from ..operators import automata, conversations
@@ -71,7 +72,7 @@ def source_four_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "four")
     options = [F.get("options", F.lit(i)).alias(c) for i, c in enumerate("ABCD")]
     rows = _items(spark, sf_dir).select(F.col("item_id").alias("index"), F.base64(F.col("benchmark").cast("binary")).alias("image"), "question", *options, "answer", F.col("task_type").alias("category"))
-    rows.write.parquet(f"{folder}/hr_bench_4k.parquet")
+    rows.write.parquet(f"{folder}/{config.FOUR_OPTION_FILE.format('4k')}")
     made = readers.load_task(spark, "hrbench4k", folder)
     return made.select("question_id", F.col("image").cast("string").alias("image"), "query", "label", "category")
 
@@ -108,13 +109,13 @@ def source_url_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "urls")
     url = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("https://tube.example/watch?v="), F.col("name")))
     rows = _video_items(spark, sf_dir).select(url.alias("url"), F.col("name").alias("videoID"), F.col("name").alias("video_id"), F.col("item_id").alias("question_id"), "question", "options", "answer", F.col("benchmark").alias("duration"))
-    for name, part in (("a-other", rows.limit(0)), ("test-00000-of-00001", rows)):
+    for name, part in (("a-other", rows.limit(0)), (config.URL_KEYED_FILE.removesuffix(".parquet"), rows)):
         part.coalesce(1).write.parquet(f"{folder}-staged/{name}")
         system, place = files.hadoop(spark, folder)
         system.mkdirs(place)
         written = next(n for n in files.names_in(spark, f"{folder}-staged/{name}", folders=False) if n.endswith(".parquet"))
         system.rename(files.hadoop(spark, f"{folder}-staged/{name}/{written}")[1], files.hadoop(spark, f"{folder}/{name}.parquet")[1])
-    return readers.read_url_keyed(readers.read_first_parquet(spark, folder, "test-00000-of-00001.parquet"), index(spark, sf_dir)).select("id", "video", "question", "label", "category")
+    return readers.read_url_keyed(readers.read_first_parquet(spark, folder, config.URL_KEYED_FILE), index(spark, sf_dir)).select("id", "video", "question", "label", "category")
 
 
 def source_name_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,9 +180,7 @@ def suppressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def task_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The options of every benchmark, some given beside the defaults."""
-    from ..config import TASKS, task_options
-
-    rows = [(n, (o := task_options(n, fps=3.0 if n == "mlvu" else None)).kind, o.fps, o.max_frames, o.total_pixels, o.min_pixels, o.max_pixels) for n in sorted(TASKS)]
+    rows = [(n, (o := config.task_options(n, fps=3.0 if n == "mlvu" else None)).kind, o.fps, o.max_frames, o.total_pixels, o.min_pixels, o.max_pixels) for n in sorted(config.TASKS)]
     return spark.createDataFrame(rows, "task string, kind string, fps double, max_frames bigint, total_pixels bigint, min_pixels bigint, max_pixels bigint")
 
 

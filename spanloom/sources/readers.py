@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import EvalTask, task_options
 from ..functions import text as X
 from ..functions.answers import bracketed_letter, option_letter
@@ -65,7 +66,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_four_options(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Base64 images with options A to D: question_id, image, query, label, category. With a split (4k or 8k) path is a folder."""
-    rows = spark.read.parquet(f"{path}/hr_bench_{split}.parquet" if split else path)
+    rows = spark.read.parquet(f"{path}/{config.FOUR_OPTION_FILE.format(split)}" if split else path)
     category = F.col("category") if "category" in rows.columns else F.lit("overall")
     return rows.select(F.col("index").cast("bigint").alias("question_id"), F.unbase64("image").alias("image"), X.four_option_prompt(*map(F.col, ("question", "A", "B", "C", "D"))).alias("query"), F.col("answer").alias("label"), category.alias("category"))
 
@@ -74,7 +75,7 @@ def read_configs(spark: SparkSession, folder: str, split: str = "val") -> DataFr
     """One split of several configurations, each a folder of Parquet files named by split (assets left out), the name as category."""
     parts = []
     for name in names_in(spark, folder, folders=True):
-        if name == "assets":
+        if name == config.ASSETS_FOLDER:
             continue
         rows = spark.read.option("pathGlobFilter", f"{split}[-_.]*").parquet(f"{folder}/{name}")
         images = compact_images(*(F.col(c) for c in ("image_1", "image_2", "image_3", "image_4") if dict(rows.dtypes).get(c) in ("binary", "string")))  # a column of nulls alone has no such type
@@ -158,7 +159,7 @@ def _configs(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
 
 @register_loader("videomme")
 def _url_keyed(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
-    return read_url_keyed(read_first_parquet(spark, path, "test-00000-of-00001.parquet"), video_index(list_files(spark, path)))
+    return read_url_keyed(read_first_parquet(spark, path, config.URL_KEYED_FILE), video_index(list_files(spark, path)))
 
 
 @register_loader("mlvu")
@@ -168,4 +169,4 @@ def _name_keyed(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
 
 @register_loader("mvbench")
 def _task_folder(spark: SparkSession, path: str, options: EvalTask) -> DataFrame:
-    return read_task_folder(spark, first_folder(spark, path, "json") or path, video_index(list_files(spark, path)))
+    return read_task_folder(spark, first_folder(spark, path, config.TASK_FOLDER) or path, video_index(list_files(spark, path)))
